@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, mixing, simhash, token_store, url_filter
+from . import decontaminate, html_extract, license_scan, mixing, quality, simhash, token_store, toxicity, url_filter, warc
 
 #: The production mixture. The largest source is held to a share, the others keep their proportions.
 WEIGHTS = {"src0": 0.15}
@@ -24,10 +24,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_index(table(spark, sf_dir, "documents"))
 
@@ -36,16 +44,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_source_mixing": OP2, "op9_decontamination": OP9}
+    return {"op1_url_filter": OP1, "op2_source_mixing": OP2, "op5_warc": OP5, "op9_decontamination": OP9}
 
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
@@ -116,3 +132,15 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
   sha256(coalesce(i.ids, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
+
+OP5 = """
+WITH own AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), copies AS (
+  SELECT payload_digest, max(page_id) AS first FROM own WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT o.page_id, o.payload_bytes::BIGINT AS payload_bytes, o.payload_digest,
+  CASE WHEN c.first <> o.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN c.first <> o.page_id THEN c.first END AS refers_to
+FROM own o LEFT JOIN copies c ON o.payload_digest = c.payload_digest AND o.payload_bytes >= 1000
+"""
