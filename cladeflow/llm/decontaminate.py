@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .spark_util import checkpointed, map_rows, words
+from .spark_util import checkpointed, map_rows, set_aside, words
 
 #: Words of test items in one automaton, which takes about 1 KB a word.
 BLOCK_WORDS = 200_000
@@ -164,10 +164,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ``most_coverage`` or more of the words are hit goes as a whole. ``n_chars``, where there is one, follows the text.
     Documents without hits stay exactly as they are.
     """
-    found = passages(docs, benchmark, docs.columns, window)
+    own, back = set_aside(docs, ("n_words", "spans", "items"))
+    found = passages(own, benchmark, own.columns, window)
     hit = F.aggregate(F.sequence(F.lit(0), F.size("spans") - 1), F.lit(0).cast("bigint"), lambda acc, i: acc + F.when(i % 2 == 1, F.get("spans", i)).otherwise(-F.get("spans", i)))
     kept = found.filter((F.size("spans") == 0) | (hit < F.lit(most_coverage) * F.col("n_words")))
-    cut = map_rows(kept, [c for c in docs.columns if c != "text"], ["text", "spans"], "text string", lambda: lambda text, spans: (without_spans(text, spans),))
+    cut = map_rows(kept, [c for c in own.columns if c != "text"], ["text", "spans"], "text string", lambda: lambda text, spans: (without_spans(text, spans),))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.select(*back)

@@ -9,7 +9,7 @@ Scale: the sizes are one aggregation with partial sums on the map side. The rate
 counted, and broadcast only up to ``BROADCAST_SOURCES`` rows. A hot source is dealt out by replica, never by source.
 
 Null sources are a source of their own. Documents with the same id get the same count. Null and empty texts count no
-characters; a source without any characters keeps its documents at rate 1. Extra columns come along.
+characters; a source without any characters keeps its documents at rate 1. Extra columns come along; an own column ``replica`` is replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark_util import set_aside
+
 #: Rows of rates that are broadcast; each is a name and a number.
 BROADCAST_SOURCES = 100_000
 #: A larger mean is drawn as a sum of independent parts, since exp(-mean) would vanish.
@@ -65,11 +67,12 @@ def rates(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0) -> Da
 
 def mixed(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: str = SEED) -> DataFrame:
     """The columns of ``docs`` and ``replica`` (1, 2, ...), in an order that is random for the whole mixture."""
+    own, back = set_aside(docs.drop("replica"), ("mix_source", "mix_rate", "mix_count", "mix_place"))
     table = rates(docs, weights, epochs)
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    counted = docs.join(table, docs["source"].eqNullSafe(F.col("mix_source")), "left")
+    counted = own.join(table, own["source"].eqNullSafe(F.col("mix_source")), "left")
     copies = counted.withColumn("mix_count", poisson(F.col("mix_rate"), seed, F.col("doc_id"))).filter("mix_count > 0")
-    replicas = copies.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("mix_count")))).drop("mix_source", "mix_rate", "mix_count")
+    replicas = copies.withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("replica"))
-    return replicas.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place").drop("mix_place")
+    return replicas.withColumn("mix_place", place).select(*own.columns, "replica", "mix_place").repartition("mix_place").sortWithinPartitions("mix_place").select(*back, "replica")

@@ -87,14 +87,18 @@ def _rule(value: Column, good: Column, bad: Column) -> Column:
 
 def _share(part: str, whole: str, good: float, bad: float) -> Column:
     """Votes good up to one share and bad from another, and abstains between them."""
-    x = F.col(part) / F.col(whole)
+    x = F.try_divide(F.col(part), F.col(whole))
     return _rule(x, x <= good, x >= bad)
 
 
+def _word_length(mean: Column) -> Column:
+    return _rule(mean, mean.between(3, 9), ~mean.between(2, 14))
+
+
 #: The rules, by name. Division by zero gives null, on which a rule abstains.
 RULES: dict[str, Callable[[], Column]] = {
     "length": lambda: _rule(F.col("n_words"), F.col("n_words") >= 40, F.col("n_words") < LEAST_WORDS),
-    "word_length": lambda: _rule(F.col("word_chars") / F.col("n_words"), (F.col("word_chars") / F.col("n_words")).between(3, 9), ~(F.col("word_chars") / F.col("n_words")).between(2, 14)),
+    "word_length": lambda: _word_length(F.try_divide(F.col("word_chars"), F.col("n_words"))),
     "symbols": lambda: _share("n_symbols", "n_words", 0.02, 0.1),
     "repetition": lambda: _share("n_repeat_words", "n_words", 0.05, 0.2),
     "copied_lines": lambda: _share("n_dup_lines", "n_lines", 0.1, 0.6),

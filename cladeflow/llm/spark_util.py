@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -87,3 +87,9 @@ def map_rows(df: DataFrame, carry: list[str], inputs: list[str], schema: str, fa
 def map_texts(df: DataFrame, schema: str, factory: Callable[[], Callable[[bytes | None], tuple]], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``map_rows`` for one id and one text column."""
     return map_rows(df, [id_col], [text_col], schema, factory)
+
+
+def set_aside(df: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """The table with those of its columns renamed that an operator needs the names of; and all columns, named back."""
+    own = {c: f"own_{k}_{c}" if c in taken else c for k, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), [F.col(f"`{n}`").alias(c) for c, n in own.items()]
