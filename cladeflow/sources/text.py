@@ -34,12 +34,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_phylip(spark: SparkSession, path: str) -> DataFrame:
     """Relaxed PHYLIP, sequential or interleaved: a header with the counts of taxa and sites, then lines of name and sequence."""
-    files = spark.read.option("wholetext", True).text(path).select(_gene().alias("gene_id"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(_gene().alias("gene_id"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     head = F.split(F.trim(F.get("lines", 0)), SPACE)
-    counted = files.select("gene_id", F.get(head, 0).cast("int").alias("ntax"), F.get(head, 1).cast("int").alias("nsites"), F.posexplode(F.slice("lines", 2, 1 << 30)).alias("at", "line"))
+    counted = files.select("gene_id", F.get(head, 0).cast("int").alias("ntax"), F.get(head, 1).cast("int").alias("nsites"), F.posexplode(F.filter("lines", lambda x, k: k > 0)).alias("at", "line"))
     parts = F.split(F.trim("line"), SPACE)
     first = F.col("at") < F.col("ntax")
-    text = F.array_join(F.when(first, F.slice(parts, 2, 1 << 30)).otherwise(parts), "")
+    text = F.array_join(F.filter(parts, lambda x, k: ~first | (k > 0)), "")
     rows = counted.select("gene_id", "ntax", "nsites", (F.col("at") % F.col("ntax")).alias("row_ix"), "at", F.when(first, F.get(parts, 0)).alias("name"), text.alias("text"))
     seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
     found = rows.groupBy("gene_id", "row_ix", "ntax", "nsites").agg(F.max("name").alias("name"), seq.alias("seq"))
@@ -66,12 +66,12 @@ def write_phylip(msa: DataFrame, path: str) -> None:
 
 
 def read_tree(spark: SparkSession, path: str) -> Tree:
-    (row,) = spark.read.option("wholetext", True).text(path).limit(1).collect()
+    (row,) = spark.read.text(path, wholetext=True).limit(1).collect()
     return Tree.parse(row[0])
 
 
 def read_model(spark: SparkSession, path: str, base: Model | None = None) -> Model:
-    (row,) = spark.read.option("wholetext", True).text(path).limit(1).collect()
+    (row,) = spark.read.text(path, wholetext=True).limit(1).collect()
     return parse_best_model(row[0], base)
 
 
