@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .spark_util import WORD_TABLE, small_batches
+from .spark_util import WORD_TABLE, set_aside, small_batches
 
 #: Training documents of each label, and the longest text that is trained on.
-SAMPLE, LONGEST = 2000, 30_000
+SAMPLE, LONGEST = 1200, 20_000
 BUCKETS = 1 << 18
 #: Words to each side of a labelled token in a training window.
 REACH = 8
@@ -40,6 +40,8 @@ REACH = 8
 WINDOWS = 3
 #: A cue must explain this many toxic documents that no other does, in as many contexts, and be this many times as frequent in toxic documents as in clean ones.
 LEAST_GAIN, LEAST_RATIO = 4, 6.0
+#: Cues that the cover doesn't need count too, from this many contexts and times on: too often for chance.
+SURE_CONTEXTS, SURE_RATIO = 25, 50.0
 THRESHOLD = 0.3
 #: Entries of a task's cache of word weights.
 CACHE_WORDS = 300_000
@@ -69,19 +71,19 @@ FEATURES = 9
 
 def token_cues(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[str]:
     """Greedy cover of the toxic documents by cues that clean documents hardly have."""
-    in_clean: dict[str, int] = defaultdict(int)
-    for doc in clean:
-        for cue in {c for w in set(doc) for c in cues(w)}:
-            in_clean[cue] += 1
-    where: dict[str, set[int]] = defaultdict(set)
-    contexts: dict[str, set[tuple[bytes, bytes]]] = defaultdict(set)
+    in_toxic = Counter(c for doc in toxic for c in {c for w in set(doc) for c in cues(w)})
+    in_toxic = Counter({c: n for c, n in in_toxic.items() if n >= LEAST_GAIN})
+    in_clean = Counter(c for doc in clean for c in {c for w in set(doc) for c in cues(w)} if c in in_toxic)
+    scale = len(clean) / max(1, len(toxic))
+    strong = {c for c, n in in_toxic.items() if n * scale >= LEAST_RATIO * (in_clean[c] + 0.1)}
+    where: dict[str, set[int]] = {c: set() for c in strong}
+    contexts: dict[str, set[tuple[bytes, bytes]]] = {c: set() for c in strong}
     for k, doc in enumerate(toxic):
         for before, w, after in zip([b"", *doc], doc, [*doc[1:], b""], strict=False):
-            for cue in cues(w):
+            for cue in strong.intersection(cues(w)):
                 where[cue].add(k)
                 contexts[cue].add((before, after))
-    scale = len(clean) / max(1, len(toxic))
-    usable = {c: d for c, d in where.items() if len(contexts[c]) >= LEAST_GAIN and len(d) >= LEAST_GAIN and len(d) * scale >= LEAST_RATIO * (in_clean[c] + 0.1)}
+    usable = {c: d for c, d in where.items() if len(contexts[c]) >= LEAST_GAIN}
     worth = {c: math.log(len(d) * scale / (in_clean[c] + 0.1)) for c, d in usable.items()}
     chosen: set[str] = set()
     open_ = set(range(len(toxic)))
@@ -93,7 +95,7 @@ def token_cues(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[str]:
         chosen.add(best)
         open_ -= usable.pop(best)
         usable = {c: d for c, d in usable.items() if gains[c] >= LEAST_GAIN}
-    return chosen
+    return chosen | {c for c, d in where.items() if min(len(contexts[c]), len(d)) >= SURE_CONTEXTS and len(d) * scale >= SURE_RATIO * (in_clean[c] + 0.1)}
 
 
 @dataclass
@@ -200,10 +202,10 @@ def train(texts: list[bytes], toxic: list[int], weights: tuple[float, float] = (
     chosen = token_cues([d for d, t in zip(docs, toxic, strict=True) if t], [d for d, t in zip(docs, toxic, strict=True) if not t])
     rng, rows, cache, tagged = np.random.default_rng(7), [], {}, {}
     for doc, t in zip(docs, toxic, strict=True):
-        for w in doc:
+        for w in doc if t else ():
             if w not in tagged:
                 tagged[w] = not chosen.isdisjoint(cues(w))
-        tags = np.array([t and tagged[w] for w in doc], np.int64)
+        tags = np.array([tagged[w] for w in doc] if t else [0] * len(doc), np.int64)
         for a, b in _windows(doc, tags, rng) if doc else ():
             features = np.zeros((b - a, FEATURES), np.int64)
             for k, w in enumerate(doc[a:b]):
@@ -317,7 +319,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, in the columns of ``docs``."""
-    clashing = [c for c in docs.columns if c in ("score", "predicted", "spans")]
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"own_{c}") if c in clashing else F.col(f"`{c}`") for c in docs.columns))
-    kept = scored(renamed, fit(docs, labels), renamed.columns).filter("predicted = 0")
-    return kept.select(*(F.col(f"`own_{c}`").alias(c) if c in clashing else F.col(f"`{c}`") for c in docs.columns))
+    own, back = set_aside(docs, ("score", "predicted", "spans", "scored_text"))
+    return scored(own, fit(docs, labels), own.columns).filter("predicted = 0").select(*back)
