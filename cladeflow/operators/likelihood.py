@@ -201,3 +201,20 @@ def with_invariant(rows: DataFrame, model: Model) -> DataFrame:
 def lewis_correction(loglik: float, weight: float, constant_likelihoods: list[float]) -> float:
     """Ascertainment: only variable sites were seen. ``constant_likelihoods``: of the four constant columns."""
     return loglik - weight * float(np.log1p(-sum(constant_likelihoods)))
+
+
+def felsenstein_correction(loglik: float, constant_weight: float, constant_likelihoods: list[float]) -> float:
+    """Ascertainment: ``constant_weight`` sites are known to be constant, but not in which state."""
+    return loglik + constant_weight * float(np.log(sum(constant_likelihoods)))
+
+
+def stamatakis_correction(loglik: float, weights: list[float], constant_likelihoods: list[float]) -> float:
+    """Ascertainment: how many sites are constant in each state is known."""
+    return loglik + float(np.dot(weights, np.log(constant_likelihoods)))
+
+
+def constant_likelihoods(tree: Tree, model: Model) -> list[float]:
+    """The likelihoods of the four constant columns."""
+    taxa = {tree.name[n]: k for k, n in enumerate(tree.tips())}
+    masks = np.repeat(1 << np.arange(4)[:, None], len(taxa), axis=1)
+    return np.exp(Block(tree, model, taxa, masks).loglik()).tolist()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.alphabet import mask_of
-from .operators import alignment, likelihood, parsimony, placement, spr, tree_relations
+from .operators import alignment, likelihood, moves, parsimony, placement, spr, tree_relations
 from .plans import derived, oracle
 from .plans.derived import MODEL
 from .plans.shared import shared_path, written
@@ -120,6 +120,18 @@ def sankoff_parsimony(spark, sf_dir):
     return parsimony.sankoff(derived.tree(spark, sf_dir), patterns(spark, sf_dir), taxa(spark, sf_dir), COSTS)
 
 
+def site_repeats(spark, sf_dir):
+    out = moves.site_repeats(derived.tree(spark, sf_dir), patterns(spark, sf_dir), taxa(spark, sf_dir))
+    return out.groupBy("node_id").agg(F.countDistinct("class").alias("n_classes"))
+
+
+def best_interchange(spark, sf_dir):
+    """The nearest tree by one interchange; a row for each node, and its log-likelihood."""
+    found, names = stored_patterns(spark, sf_dir), taxa(spark, sf_dir)
+    tree, loglik = moves.best_interchange(derived.tree(spark, sf_dir), lambda trees: spr.tree_logliks(trees, found, MODEL, names))
+    return tree.nodes(spark).withColumn("loglik", F.lit(loglik))
+
+
 def query_counts(spark, sf_dir):
     return counts(spark, sf_dir, derived.query_cells(spark, sf_dir), patterns(spark, sf_dir))
 
@@ -246,7 +258,7 @@ def stream_query_counts(spark, sf_dir):
 
 QUERIES = [
     tree_loglik, tree_loglik_blocked, gene_logliks, alignment_encode, site_patterns, site_pattern_map, base_frequencies, invariant_sites, transition_matrices,
-    pattern_likelihoods, edge_logliks, root_states, ancestral_states, fitch_parsimony, sankoff_parsimony, query_counts, placement_baseline, placement_tip_edges,
+    pattern_likelihoods, edge_logliks, root_states, ancestral_states, fitch_parsimony, sankoff_parsimony, site_repeats, best_interchange, query_counts, placement_baseline, placement_tip_edges,
     placement_ranking, placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, bad_symbols, bad_names,
     unequal_lengths, fasta_round_trip, phylip_round_trip, stream_query_counts,
 ]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cladeflow import queries as engine
 from cladeflow.functions.alphabet import MASKS
 from cladeflow.functions.model import Model, gamma_p, gamma_rates, parse_best_model
-from cladeflow.operators import alignment, likelihood, parsimony, placement, spr, tree_relations
+from cladeflow.operators import alignment, likelihood, moves, parsimony, placement, spr, tree_relations
 from cladeflow.plans.tree import Tree
 from cladeflow.sources import jplace, text
 
@@ -194,6 +194,32 @@ def test_parsimony(spark):
     assert sorted(built.name[n] for n in built.tips()) == names[:5]
 
 
+def test_interchanges_and_repeats(spark):
+    rng = random.Random(4)
+    names = [f"t{k}" for k in range(7)]
+    tree = random_tree(names, rng).renumbered()
+    for pair in moves.interchanges(tree):
+        before = tree.newick()
+        moves.interchange(tree, *pair)
+        assert tree.newick() != before
+        moves.interchange(tree, *pair)
+        assert tree.newick() == before
+    columns = [[rng.choice([1, 2]) for _ in names] for _ in range(30)]
+    df = spark.createDataFrame([(k, 1, c) for k, c in enumerate(columns)], "pattern_id int, weight int, pattern array<int>")
+    _, score = moves.best_interchange(tree, lambda trees: [-x for x in parsimony.fitch_scores(trees, df, names)])
+    assert -score <= min(sum(brute_fitch(t, dict(zip(names, c, strict=True))) for c in columns) for t in [tree.copy()] for _ in [moves.interchange(t, *moves.interchanges(t)[0])])
+    below = {n: [names.index(tree.name[x]) for x in tree.preorder(n) if not tree.children[x]] for n in tree.preorder()}
+    for r in moves.site_repeats(tree, df, names).collect():
+        first = min(k for k, c in enumerate(columns) if all(c[x] == columns[r["pattern_id"]][x] for x in below[r["node_id"]]))
+        assert r["class"] == first
+
+
+def test_constant_columns():
+    tree = Tree.parse(ROOTED)
+    some = likelihood.constant_likelihoods(tree, MODEL)
+    assert 0 < sum(some) < 1 and likelihood.felsenstein_correction(-5.0, 2.0, some) < -5 and likelihood.stamatakis_correction(-5.0, [1, 0, 0, 0], some) == pytest.approx(-5 + np.log(some[0]))
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "g.fasta").write_text("\n>a b\nAC GT\nAC\n>c\r\nACGTA-\n")
     assert [(r["name"], r["seq"]) for r in text.read_alignment(spark, f"{tmp_path}/g.fasta").orderBy("row_ix").collect()] == [("a b", "ACGTAC"), ("c", "ACGTA-")]
