@@ -17,7 +17,7 @@ get their component's smallest id, null if it has none. Repeated rows are exact
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +161,7 @@ def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Links ``a``, ``b`` between distinct ``fp`` that connect all that differ in ``most`` bits or fewer."""
     count = distinct.count()
     depth = min(24, max(0, int(np.ceil(np.log2(max(1, count) / NODE_SIZE)))))
-    masks = [m for m in range(1 << depth) if m.bit_count() <= most // 2] if depth <= 12 else sorted({(1 << i if i < depth else 0) ^ (1 << j if j < depth else 0) for i in range(depth + 1) for j in range(depth + 1)} if most // 2 == 2 else {m for m in range(1 << depth) if m.bit_count() <= most // 2})
+    masks = [sum(1 << b for b in bits) for n in range(most // 2 + 1) for bits in combinations(range(depth), n)]
     key = F.when(F.col("turn") == 0, F.col("fp")).otherwise(F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)))
     keyed = distinct.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"), "fp").select("turn", key.alias("key"))
     own = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)

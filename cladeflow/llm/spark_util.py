@@ -13,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch. Very long texts make few-row batches instead of large ones.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 250
+BATCH_BYTES = 4 << 20
 
 #: Bytes that stand between words: all ASCII but letters and digits. Upper case becomes lower case.
 WORD_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))

@@ -31,11 +31,11 @@ END_ID = 1
 #: Rows between two entries of the row index, and bytes of a stripe.
 INDEX_STRIDE, STRIPE_BYTES = 1000, 16 << 20
 #: Entries of a task's cache of encoded words.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Characters of a text that are encoded at once, which bounds the memory for very long texts.
 PIECE_CHARS = 1_000_000
 #: Words that are looked up together.
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 200_000
 #: What marks a text that isn't split here, and the place of the end id.
 WHOLE, END = b" ", b" end"
 

@@ -44,7 +44,7 @@ LEAST_GAIN, LEAST_RATIO = 4, 6.0
 SURE_CONTEXTS, SURE_RATIO = 25, 50.0
 THRESHOLD = 0.3
 #: Entries of a task's cache of word weights.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Marginals below this don't count towards a document, however many there are.
 LEAST_MARGINAL = 0.05
