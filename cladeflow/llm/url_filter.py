@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Shares that a host suffix's keys are dealt out in while its parts are looked up.
+SALTS = 64
 #: The production rules.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -65,13 +67,13 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: reversed_host(F.slice(labels, n, F.size(labels))))
     keys = urls.select("url").filter(F.instr("url", "://") > 0).distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("url", "path", F.explode(suffixes).alias("host_key"))
     stacks = _rule_stacks(rules)
-    keys = keys.join(stacks.select("host_key").distinct(), "host_key", "left_semi")
     # A suffix gets as many parts of the sweep as its share of the keys is worth.
     parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = keys.groupBy("host_key").count()
+    counts = keys.groupBy("host_key").count().join(stacks.select("host_key").distinct(), "host_key", "left_semi")
     total = counts.agg(F.sum("count").alias("total"))
     splits = counts.crossJoin(F.broadcast(total)).select("host_key", F.ceil(F.col("count") * 2 * parts / F.col("total")).cast("int").alias("splits"))  # total: one row
-    spread = keys.join(splits, "host_key").withColumn("part", F.pmod(F.xxhash64("url"), F.col("splits")).cast("int"))
+    salted = splits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = keys.withColumn("salt", F.pmod(F.xxhash64("url", "host_key"), F.lit(SALTS)).cast("int")).join(salted, ["host_key", "salt"]).withColumn("part", F.pmod(F.xxhash64("url"), F.col("splits")).cast("int"))
     replicas = stacks.join(splits, "host_key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     events = spread.select("host_key", "part", "path", "url", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack")).unionByName(
         replicas.select("host_key", "part", "path", F.lit(None).cast("string").alias("url"), "stack")
