@@ -58,9 +58,12 @@ def up_vectors(tree: Tree, cells: DataFrame, model: Model, keys: list[str]) -> D
     by_height: dict[int, list[tuple]] = {}
     for r in tree.rows():
         by_height.setdefault(r[9], []).append(r)
+    up = {child: (r[0], h) for h, rows in by_height.items() if h for r in rows for child in (r[2], r[3])}
+    matrices = model.transition(np.array([tree.blen[n] for n in up])).reshape(len(up), -1)
+    columns = [pa.array(list(up), pa.int32()), pa.array([n for n, _ in up.values()], pa.int32()), pa.array([h for _, h in up.values()], pa.int32()), pa.array(list(matrices), pa.list_(pa.float64()))]
+    steps = spark.createDataFrame(pa.table(columns, names=["node_id", "parent", "level", "p"]))  # a row for each node
     for h in sorted(by_height)[1:]:
-        steps = [(child, r[0], model.transition(np.array([tree.blen[child]]))[0].ravel().tolist()) for r in by_height[h] for child in (r[2], r[3])]
-        step = spark.createDataFrame(steps, "node_id int, parent int, p array<double>")
+        step = steps.filter(F.col("level") == h).drop("level")
         sent = F.transform(slots, lambda k: sum(F.get("p", k * 4 + j) * F.get("vec", k - k % 4 + j) for j in range(4)))
         moved = table.join(F.broadcast(step), "node_id", "left").select(F.coalesce("parent", "node_id").alias("node_id"), *keys, F.when(F.col("p").isNull(), F.col("vec")).otherwise(sent).alias("vec"), "scale")
         grouped = moved.groupBy("node_id", *keys).agg(F.collect_list("vec").alias("vecs"), F.sum("scale").alias("scale"))  # two vectors at most
