@@ -15,6 +15,9 @@ from .tree import Tree
 #: The model of the derived data.
 MODEL = Model(rates=(1.0, 2.5, 1.0, 1.0, 2.5, 1.0), freqs=(0.3, 0.4, 0.1, 0.2), alpha=0.5, ncat=4)
 
+#: Costs of changes from a parent's state to a child's: transversions cost twice as much as transitions.
+COSTS = [[0, 2, 1, 2], [2, 0, 2, 1], [1, 2, 0, 2], [2, 1, 2, 0]]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ products over all nations of a region, and over all regions.
 from __future__ import annotations
 
 from ..functions.alphabet import ALL, MASKS, MISSING, STATES
-from .derived import MODEL
+from .derived import COSTS, MODEL
 from .tree import PENDANT
 
 
@@ -131,30 +131,48 @@ scores AS (
 """
 
 
-def _fitch() -> str:
-    """Regions' and nations' ranks give the left-deep order of the merges."""
-    wide = ", ".join(f"max(CASE WHEN r = {r} AND n = {n} THEN mask END) AS m{r}_{n}" for r in range(1, 6) for n in range(1, 6))
-    steps, last, k = [], "wide", 0
+PLACES = f"""
+places AS (SELECT n_nationkey, dense_rank() OVER (ORDER BY n_regionkey) AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation),
+wide AS (
+  SELECT pattern_id, {", ".join(f"max(CASE WHEN r = {r} AND n = {n} THEN mask END) AS m{r}_{n}" for r in range(1, 6) for n in range(1, 6))}
+  FROM pats JOIN masks ON site = first_site JOIN places ON n_nationkey = row_ix GROUP BY pattern_id
+)
+"""
 
-    def merge(a: str, b: str, out: str) -> None:
-        nonlocal last, k
-        k += 1
-        steps.append(f"s{k} AS (SELECT *, CASE WHEN {a} & {b} <> 0 THEN {a} & {b} ELSE {a} | {b} END AS {out}, ({a} & {b} = 0)::INTEGER AS x{k} FROM {last})")
-        last = f"s{k}"
 
+def _merges() -> list[tuple[str, str, str]]:
+    """(left, right, new): regions' and nations' ranks give the left-deep order."""
+    out = []
     for r in range(1, 6):
         at = f"m{r}_1"
         for n in range(2, 6):
-            merge(at, f"m{r}_{n}", f"u{r}_{n}")
+            out.append((at, f"m{r}_{n}", f"u{r}_{n}"))
             at = f"u{r}_{n}"
     at = "u1_5"
     for r in range(2, 6):
-        merge(at, f"u{r}_5", f"t{r}")
+        out.append((at, f"u{r}_5", f"t{r}"))
         at = f"t{r}"
+    return out
+
+
+def _sankoff() -> str:
+    tips = ", ".join(f"CASE WHEN m{r}_{n} >> {s} & 1 = 1 THEN 0.0::DOUBLE ELSE 1e9 END AS m{r}_{n}_{s}" for r in range(1, 6) for n in range(1, 6) for s in range(4))
+    steps, last = [f"s0 AS (SELECT pattern_id, {tips} FROM wide)"], "s0"
+    for k, (a, b, new) in enumerate(_merges(), 1):
+        side = lambda x, s: "least(" + ", ".join(f"{x}_{t} + {COSTS[s][t]}" for t in range(4)) + ")"
+        steps.append(f"s{k} AS (SELECT *, {', '.join(f'{side(a, s)} + {side(b, s)} AS {new}_{s}' for s in range(4))} FROM {last})")
+        last = f"s{k}"
+    return f"{PLACES}, {', '.join(steps)} SELECT pattern_id, weight, least(t5_0, t5_1, t5_2, t5_3) AS score FROM {last} JOIN pats USING (pattern_id)"
+
+
+def _fitch() -> str:
+    steps, last = [], "wide"
+    for k, (a, b, out) in enumerate(_merges(), 1):
+        steps.append(f"s{k} AS (SELECT *, CASE WHEN {a} & {b} <> 0 THEN {a} & {b} ELSE {a} | {b} END AS {out}, ({a} & {b} = 0)::INTEGER AS x{k} FROM {last})")
+        last = f"s{k}"
     total = " + ".join(f"x{i}" for i in range(1, k + 1))
     return f"""
-places AS (SELECT n_nationkey, dense_rank() OVER (ORDER BY n_regionkey) AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation),
-wide AS (SELECT pattern_id, {wide} FROM pats JOIN masks ON site = first_site JOIN places ON n_nationkey = row_ix GROUP BY pattern_id),
+{PLACES},
 {", ".join(steps)}
 SELECT pattern_id, weight, {total} AS score FROM {last} JOIN pats USING (pattern_id)
 """
@@ -181,6 +199,7 @@ def sql() -> dict[str, str]:
         "edge_logliks": f"{lk}, total AS ({total}) SELECT unnest(range(1, 49))::INTEGER AS edge, loglik FROM total",
         "root_states": f"{lk}, joint AS (SELECT pattern_id, state, sum(cat_weight * pi * value) AS x FROM root JOIN cats USING (cat) JOIN states USING (state) GROUP BY ALL) SELECT pattern_id, state, round(x / sum(x) OVER (PARTITION BY pattern_id), 6) AS probability FROM joint",
         "fitch_parsimony": f"{base}, {_fitch()}",
+        "sankoff_parsimony": f"{base}, {_sankoff()}",
         "query_counts": counts,
         "stream_query_counts": counts,
         "placement_tip_edges": f"{scored} SELECT query, tip, loglik FROM scores",

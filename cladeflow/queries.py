@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from .functions.alphabet import mask_of
 from .operators import alignment, likelihood, moves, parsimony, placement, spr, tree_relations
 from .plans import derived, oracle
-from .plans.derived import MODEL
+from .plans.derived import COSTS, MODEL
 from .plans.shared import shared_path, written
 from .sources import jplace, text
 from .streaming.placement import each_batch
 
 #: Queries that one commit batch takes (a setting of the commit loop, which is sequential).
 BATCH = 3
-COSTS = [[0, 2, 1, 2], [2, 0, 2, 1], [1, 2, 0, 2], [2, 1, 2, 0]]
 
 
 def taxa(spark: SparkSession, sf_dir: str) -> list[str]:
