@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from .spark_util import fresh_path, small_batches
 END_ID = 1
 #: Rows between two entries of the row index, and bytes of a stripe.
 INDEX_STRIDE, STRIPE_BYTES = 1000, 16 << 20
-#: Entries of a task's cache of encoded words.
-CACHE_WORDS = 150_000
+#: Words whose ids a Python process keeps: those that came back, and those seen once.
+OFTEN_WORDS, ONCE_WORDS = 150_000, 150_000
 #: Characters of a text that are encoded at once, which bounds the memory for very long texts.
 PIECE_CHARS = 1_000_000
 #: Words that are looked up together.
@@ -69,7 +70,8 @@ class BatchEncoder:
         self.special = re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in a byte-level vocabulary
         self.byte_level = dict(zip((b for b in range(256) if b not in plain), map(chr, range(256, 512)), strict=False))
-        self.cache: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
+        self.often: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's with the end id, and how many each text has."""
@@ -115,18 +117,26 @@ class BatchEncoder:
             text = text.encode().decode("latin-1").translate(self.byte_level)
         return array("i", [t.id for t in self.model.tokenize(text)]).tobytes()
 
+    def _cached(self, word: bytes) -> bytes | None:
+        """Words that come back in a later look-up are kept, the many that don't soon make room; END has no ids of its own."""
+        if (known := self.often.get(word)) is not None:
+            return known
+        if word.startswith(WHOLE):
+            return None if word == END else self._ids(word)
+        if (known := self.once.pop(word, None)) is not None:
+            if len(self.often) >= OFTEN_WORDS:
+                self.often.clear()
+            self.often[word] = known
+            return known
+        if len(self.once) >= ONCE_WORDS:
+            self.once.clear()
+        self.once[word] = known = self._ids(word)
+        return known
+
     def _flush(self, words: list[bytes], owners: list[tuple[int, int]], counts: np.ndarray, end_id: int) -> np.ndarray:
         coded = pa.array(words, pa.large_binary()).dictionary_encode()
-        at, distinct, cache = coded.indices.to_numpy(), coded.dictionary.to_pylist(), self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        cache[END] = array("i", [end_id]).tobytes()
-        for w in set(distinct).difference(cache):
-            cache[w] = self._ids(w)
-        own = [cache[w] for w in distinct]
-        for w in distinct:
-            if w.startswith(WHOLE) and w != END:
-                del cache[w]
+        at, own = coded.indices.to_numpy(), [self._cached(w) for w in coded.dictionary.to_pylist()]
+        own = [array("i", [end_id]).tobytes() if x is None else x for x in own]
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         lengths = sizes[at]
         ends = np.cumsum(lengths)
@@ -142,6 +152,12 @@ class BatchEncoder:
         return ids
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> BatchEncoder:
+    """One encoder for all tasks of a Python process: loading it, and learning the usual words, is most of its cost."""
+    return BatchEncoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> StructType:
     """Write the documents' ids to ORC files below ``path`` in ascending order of doc_id; returns the files' schema.
 
@@ -154,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("part int, part_start bigint, n_tokens bigint, ids array<int>").fields])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, encoder = TaskContext.get().partitionId(), 0, BatchEncoder(model)
+        part, start, encoder = TaskContext.get().partitionId(), 0, encoder_for(model)
         for batch in batches:
             ids, counts = encoder(batch.column(1).cast(pa.binary()).to_pylist(), end_id)
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
