@@ -17,6 +17,8 @@ from .streaming.placement import each_batch
 
 #: Queries that one commit batch takes (a setting of the commit loop, which is sequential).
 BATCH = 3
+#: How queries are placed when they are committed.
+COMMIT = placement.Options(candidates=3, passes=1)
 
 
 def taxa(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -80,6 +82,11 @@ def invariant_sites(spark, sf_dir):
     return alignment.invariant_sites(cells)
 
 
+def invariant_sites_all(spark, sf_dir):
+    """Over all taxa; ``invariant_sites`` and its SQL look at the first four."""
+    return alignment.invariant_sites(derived.cells(spark, sf_dir))
+
+
 def transition_matrices(spark, sf_dir):
     nodes = derived.tree(spark, sf_dir).nodes(spark)
     p = likelihood.transition_table(nodes, MODEL)
@@ -157,6 +164,12 @@ def placement_ranking(spark, sf_dir):
     return out.select("query", F.col("edge").alias("tip"), "rank", F.round("lwr", 6).alias("lwr"), F.round("gap_top2", 5).alias("gap_top2"), F.round("gap_top5", 5).alias("gap_top5"))
 
 
+def placement_edge_ranking(spark, sf_dir):
+    """The five best of all edges, inner ones too, with weight ratios and gaps; ``placement_ranking`` and its SQL have tip edges only."""
+    out = placement.ranked(placement_baseline(spark, sf_dir).withColumn("loglik", F.round("loglik", 6)), 5)
+    return out.select("query", "edge", "rank", F.round("loglik", 6).alias("loglik"), F.round("lwr", 6).alias("lwr"), F.round("gap_top2", 5).alias("gap_top2"), F.round("gap_top5", 5).alias("gap_top5"))
+
+
 def placements(spark, sf_dir):
     found = stored_patterns(spark, sf_dir)
     return placement.placed(derived.tree(spark, sf_dir), found, counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), MODEL, taxa(spark, sf_dir), placement.Options(candidates=3))
@@ -167,24 +180,29 @@ def jplace_records(spark, sf_dir):
 
 
 def _with_queries(spark, sf_dir) -> tuple[DataFrame, list[str], list[str]]:
-    """Patterns over the taxa and the first ``BATCH`` queries."""
+    """Patterns over the taxa and all queries, in input order; a row for each query comes to the driver, where the commit loop is."""
     names = taxa(spark, sf_dir)
-    own = derived.query_cells(spark, sf_dir).filter(F.col("query") <= BATCH)
-    both = alignment.encoded(derived.cells(spark, sf_dir).select("site", "row_ix", "sym").unionByName(own.select("site", (F.col("query") + len(names) - 1).alias("row_ix"), "sym")))
-    queries = [f"query_{k + 1}" for k in range(BATCH)]
+    keys = [r[0] for r in derived.table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
+    places = spark.createDataFrame([(key, len(names) + k) for k, key in enumerate(keys)], "query bigint, row_ix int")
+    own = derived.query_cells(spark, sf_dir).join(F.broadcast(places), "query").select("site", "row_ix", "sym")
+    both = alignment.encoded(derived.cells(spark, sf_dir).select("site", "row_ix", "sym").unionByName(own))
+    queries = [f"query_{key}" for key in keys]
     return written(alignment.site_patterns(both, value="mask"), "patterns"), [*names, *queries], queries
 
 
 def committed_tree(spark, sf_dir):
+    """All queries, each inserted at its best place, in input order."""
     found, names, queries = _with_queries(spark, sf_dir)
-    return placement.committed(derived.tree(spark, sf_dir), found, MODEL, names, queries, placement.Options(candidates=3, passes=1)).nodes(spark)
+    return placement.committed(derived.tree(spark, sf_dir), found, MODEL, names, queries, COMMIT).nodes(spark)
 
 
 def refined_tree(spark, sf_dir):
-    """Insert a batch, then refine around it; a row for each node, and the log-likelihood of the tree."""
+    """Insert a batch, then refine around it, until all queries are in; a row for each node, and the log-likelihood of the tree."""
     found, names, queries = _with_queries(spark, sf_dir)
-    grown = placement.committed(derived.tree(spark, sf_dir), found, MODEL, names, queries, placement.Options(candidates=3, passes=1))
-    tree, loglik = spr.refined(grown, found, MODEL, names, queries)
+    tree = derived.tree(spark, sf_dir)
+    for k in range(0, len(queries), BATCH):
+        batch = queries[k : k + BATCH]
+        tree, loglik = spr.refined(placement.committed(tree, found, MODEL, names, batch, COMMIT), found, MODEL, names, batch)
     return tree.nodes(spark).withColumn("loglik", F.lit(loglik))
 
 
@@ -206,6 +224,13 @@ def name_mismatches(spark, sf_dir):
     return alignment.name_mismatches(tips, rows.select(F.col("n_name").alias("name")))
 
 
+def name_mismatches_all(spark, sf_dir):
+    """Tree tips against the nations of all suppliers; ``name_mismatches`` and its SQL leave the smaller suppliers out."""
+    tips = derived.tree(spark, sf_dir).nodes(spark).filter("is_tip").select("name")
+    rows = derived.table(spark, sf_dir, "supplier").join(derived.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return alignment.name_mismatches(tips, rows.select(F.col("n_name").alias("name")))
+
+
 def _part_names(spark, sf_dir) -> DataFrame:
     return derived.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene_id"), F.col("p_type").alias("name"), F.col("p_name").alias("seq"), "p_partkey")
 
@@ -256,9 +281,9 @@ def stream_query_counts(spark, sf_dir):
 
 
 QUERIES = [
-    tree_loglik, tree_loglik_blocked, gene_logliks, alignment_encode, site_patterns, site_pattern_map, base_frequencies, invariant_sites, transition_matrices,
+    tree_loglik, tree_loglik_blocked, gene_logliks, alignment_encode, site_patterns, site_pattern_map, base_frequencies, invariant_sites, invariant_sites_all, transition_matrices,
     pattern_likelihoods, edge_logliks, root_states, ancestral_states, fitch_parsimony, sankoff_parsimony, site_repeats, best_interchange, query_counts, placement_baseline, placement_tip_edges,
-    placement_ranking, placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, bad_symbols, bad_names,
+    placement_ranking, placement_edge_ranking, placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, name_mismatches_all, bad_symbols, bad_names,
     unequal_lengths, fasta_round_trip, phylip_round_trip, stream_query_counts,
 ]
 

@@ -168,6 +168,52 @@ def test_commit_and_refinement(spark, sf_dir):
     assert after >= before and sorted(filter(None, refined.name)) == sorted(filter(None, grown.name))
 
 
+def symbol(nation, part, size):
+    mix = ((nation + 3) * (part % 97 + 1) * (size + 5) + nation * nation) % 1009
+    return "-" if mix % 41 == 0 else "R" if mix % 53 == 0 else "N" if mix % 61 == 0 else "ACGT"[mix % 4]
+
+
+def test_commits_take_all_queries_in_their_own_columns(spark, sf_dir):
+    found, names, queries = engine._with_queries(spark, sf_dir)
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").orderBy("s_suppkey").collect()
+    parts = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    assert queries == [f"query_{r['s_suppkey']}" for r in suppliers] and len(names) == 25 + len(suppliers)
+    for r in found.collect():
+        part = r["first_site"]
+        want = [symbol(n, part, parts[part]) for n in range(25)]
+        want += ["ACGT"[(s["s_suppkey"] + part) % 4] if (s["s_suppkey"] * 31 + part) % 17 == 0 else symbol(s["s_nationkey"], part, parts[part]) for s in suppliers]
+        assert r["pattern"] == [MASKS[x] for x in want]
+
+
+def test_committed_and_refined_trees_hold_all_queries(spark, sf_dir):
+    queries = {f"query_{r['s_suppkey']}" for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()}
+    for query in (engine.committed_tree, engine.refined_tree):
+        tips = {r["name"] for r in query(spark, sf_dir).filter("is_tip").collect()}
+        assert queries < tips and len(tips) == 25 + len(queries)
+
+
+def test_whole_forms_of_the_queries_with_narrow_sql(spark, sf_dir):
+    base = {}
+    for r in engine.placement_baseline(spark, sf_dir).collect():
+        base.setdefault(r["query"], {})[r["edge"]] = round(r["loglik"], 6)
+    rows = engine.placement_edge_ranking(spark, sf_dir).collect()
+    assert len(rows) == 5 * len(base) and all(len(x) == 48 for x in base.values())
+    for r in rows:
+        order = sorted(base[r["query"]].items(), key=lambda x: (-x[1], x[0]))
+        best = order[0][1]
+        assert (r["edge"], r["loglik"]) == order[r["rank"] - 1]
+        assert r["lwr"] == pytest.approx(np.exp(r["loglik"] - best) / sum(np.exp(x - best) for _, x in order[:5]), abs=1e-5)
+        assert r["gap_top2"] == pytest.approx(best - order[1][1], abs=1e-4) and r["gap_top5"] == pytest.approx(best - order[4][1], abs=1e-4)
+    columns = {}
+    for r in engine.alignment_encode(spark, sf_dir).collect():
+        columns.setdefault(r["site"], []).append(r["mask"])
+    common = {site: int(np.bitwise_and.reduce(masks)) for site, masks in columns.items()}
+    assert {r["site"]: r["state"] for r in engine.invariant_sites_all(spark, sf_dir).collect()} == {s: m.bit_length() - 1 for s, m in common.items() if m.bit_count() == 1}
+    nations = {r["n_nationkey"]: r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()}
+    used = {nations[r["s_nationkey"]] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()}
+    assert {(r["name"], r["missing_in"]) for r in engine.name_mismatches_all(spark, sf_dir).collect()} == {(n, "alignment") for n in nations.values() if n not in used}
+
+
 def brute_fitch(tree, masks):
     score, sets = 0, {}
     for n in tree.postorder():
