@@ -17,8 +17,8 @@ from .streaming.placement import each_batch
 
 #: Queries that one commit batch takes (a setting of the commit loop, which is sequential).
 BATCH = 3
-#: How queries are placed when they are committed.
-COMMIT = placement.Options(candidates=3, passes=1)
+#: Registered placements optimise every edge of every query, as the reference does by default.
+FULL = placement.Options(candidates=None, passes=4)
 
 
 def taxa(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -172,7 +172,7 @@ def placement_edge_ranking(spark, sf_dir):
 
 def placements(spark, sf_dir):
     found = stored_patterns(spark, sf_dir)
-    return placement.placed(derived.tree(spark, sf_dir), found, counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), MODEL, taxa(spark, sf_dir), placement.Options(candidates=3))
+    return placement.placed(derived.tree(spark, sf_dir), found, counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), MODEL, taxa(spark, sf_dir), FULL)
 
 
 def jplace_records(spark, sf_dir):
@@ -193,7 +193,7 @@ def _with_queries(spark, sf_dir) -> tuple[DataFrame, list[str], list[str]]:
 def committed_tree(spark, sf_dir):
     """All queries, each inserted at its best place, in input order."""
     found, names, queries = _with_queries(spark, sf_dir)
-    return placement.committed(derived.tree(spark, sf_dir), found, MODEL, names, queries, COMMIT).nodes(spark)
+    return placement.committed(derived.tree(spark, sf_dir), found, MODEL, names, queries, FULL).nodes(spark)
 
 
 def refined_tree(spark, sf_dir):
@@ -202,7 +202,7 @@ def refined_tree(spark, sf_dir):
     tree = derived.tree(spark, sf_dir)
     for k in range(0, len(queries), BATCH):
         batch = queries[k : k + BATCH]
-        tree, loglik = spr.refined(placement.committed(tree, found, MODEL, names, batch, COMMIT), found, MODEL, names, batch)
+        tree, loglik = spr.refined(placement.committed(tree, found, MODEL, names, batch, FULL), found, MODEL, names, batch)
     return tree.nodes(spark).withColumn("loglik", F.lit(loglik))
 
 

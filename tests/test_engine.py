@@ -192,6 +192,32 @@ def test_committed_and_refined_trees_hold_all_queries(spark, sf_dir):
         assert queries < tips and len(tips) == 25 + len(queries)
 
 
+def test_placements_and_commits_search_every_edge(spark, sf_dir):
+    names, tree = engine.taxa(spark, sf_dir), engine.derived.tree(spark, sf_dir)
+    found = engine.stored_patterns(spark, sf_dir)
+    entries = engine.counts(spark, sf_dir, engine.derived.query_cells(spark, sf_dir), found).collect()
+    rows = sorted(found.select("pattern_id", "pattern").collect())
+    b = likelihood.Block(tree, engine.MODEL, {n: k for k, n in enumerate(names)}, np.array([r[1] for r in rows]), down=True)
+    want = {}
+    for query in {r["query"] for r in entries}:
+        own = [r for r in entries if r["query"] == query]
+        p, m, w = (np.array([r[k] for r in own]) for k in ("pattern_id", "mask", "weight"))
+        scores = {e: placement.Insertion(b, e, p, m, w.astype(float)).optimised(4) for e in tree.edges()}
+        want[query] = sorted(((-x[0], e) for e, x in scores.items()))[:5]
+    got = {}
+    for r in engine.placements(spark, sf_dir).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["edge"], r["loglik"])
+    assert got.keys() == want.keys()
+    for query, best in want.items():
+        assert [x[1] for _, x in sorted(got[query].items())] == pytest.approx([-x for x, _ in best], abs=1e-6)
+        assert got[query][1][0] == best[0][1]
+    first = min(want)
+    grown, joined = engine.derived.tree(spark, sf_dir), engine._with_queries(spark, sf_dir)
+    grown = placement.committed(grown, joined[0], engine.MODEL, joined[1], joined[2][:1], engine.FULL)
+    tip = next(n for n in grown.tips() if grown.name[n] == f"query_{first}")
+    assert grown.sibling(tip) == want[first][0][1]
+
+
 def test_whole_forms_of_the_queries_with_narrow_sql(spark, sf_dir):
     base = {}
     for r in engine.placement_baseline(spark, sf_dir).collect():
