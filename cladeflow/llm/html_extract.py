@@ -4,7 +4,8 @@ A token is a tag with its path of block elements, or a slot's text. Over the pag
 occurrence vector: how often it stands on each page. Tokens with equal vectors form a class. Classes whose tokens stand
 on all of the host's pages, the same number of times, are the template; they nest by their paths. What varies between
 the template's tokens are its slots: those with one text on all pages, with links, or in zones that aren't the article
-(by element, class, id or role) go; the article is the deepest part of the template that holds the other slots' text.
+(by element, or by class, id or role of an element that is no container) go; all articles and mains are the article, and
+without any, all other slots.
 
 Scale: a vector is kept as a sum of hashes of (page, count), so a host's vectors are built by partial sums on the map
 side and a shuffle of one row for each token, host and task; no page and no host is gathered anywhere. A host's model
@@ -48,8 +49,8 @@ NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|\d+")
 #: These close an open one of their kind, up to the element that holds them.
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-#: The share of a host's article text that the article's path must hold, and the pages from which on one text is fixed.
-COVER, LEAST_PAGES = 0.8, 3
+#: The pages from which on one text is fixed.
+LEAST_PAGES = 3
 
 
 def _names(attributes: str) -> tuple[str, bool, bool]:
@@ -60,14 +61,17 @@ def _names(attributes: str) -> tuple[str, bool, bool]:
         words = {w.lower() for w in NAME_PARTS.findall(value)}
         outside = outside or not words.isdisjoint(ZONE_SET)
         main = main or (kind.lower() == "role" and value.lower() == "main")
-        label = label or "." + re.sub(r"\d+", "", value.split(" ")[0])[:40]
+        label = label or "." + re.sub(r"\d+", "", (value.split() or [""])[0])[:40]
     return label, outside, main
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
     """The blocks outside of excluded zones, as (path, text, characters in links), and the count of each tag's path."""
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # element, path, excluded
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = [("", "", False, ())]  # element, path, excluded, zones by name
     blocks: list[tuple[str, str, int]] = []
+    within: list[tuple[int, ...]] = []  # each block's zones by name
+    containers: set[int] = set()
+    zones = 0
     counts: dict[str, int] = {}
     parts: list[str] = []
     links = linked = at = 0
@@ -84,8 +88,9 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
         nonlocal linked
         if parts:
             if joined := " ".join("".join(parts).split()):
-                path = next(path for tag, path, _ in reversed(stack) if tag not in INLINE_SET)
+                path, named = next((path, named) for tag, path, _, named in reversed(stack) if tag not in INLINE_SET)
                 blocks.append((path, joined, min(linked, len(joined))))
+                within.append(named)
             parts.clear()
         linked = 0
 
@@ -111,15 +116,13 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
                 flush()
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if k:
-                if inline and any(t not in INLINE_SET for t, _, _ in stack[k + 1 :]):
+                if inline and any(t not in INLINE_SET for t, *_ in stack[k + 1 :]):
                     continue
                 del stack[k:]
             continue
         label, outside, main = _names(attributes)
         if inline:
             links += tag == "a"
-            if outside:
-                stack.append((tag, stack[-1][1], True))
             continue
         flush()
         while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in INLINE_SET):
@@ -132,15 +135,29 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, int]]:
                 k -= 1
             if k and stack[k][0] in own.split():
                 del stack[k:]
-        _, path, excluded = stack[-1]
+        _, path, excluded, named = stack[-1]
         path = f"{path}/{'main' if main else tag}{label}" if len(stack) < 60 else path
         inside = "/article" in path or "/main" in path
-        excluded = excluded or outside and tag not in ("body", "html", "article", "main") or tag in OUTSIDE_SET or tag == "header" and not inside
+        if tag in ("h1", "article", "main") or main:
+            containers.update(named)
+        if outside and not main and tag not in LEAF_SET and tag not in ("body", "html", "article", "main"):
+            zones += 1
+            named = (*named, zones)
+        excluded = excluded or tag in OUTSIDE_SET or tag == "header" and not inside
         counts[path] = counts.get(path, 0) + 1
-        stack.append((tag, path, excluded))
+        stack.append((tag, path, excluded, named))
     if at < len(page):
         text(page[at:])
     flush()
+    if zones:
+        # A name alone doesn't make a zone of what holds a headline, an article, or half of the page's text.
+        held: dict[int, int] = {}
+        for (_, block, linked), named in zip(blocks, within, strict=True):
+            for zone in named:
+                held[zone] = held.get(zone, 0) + len(block) - linked
+        total = sum(len(block) - linked for _, block, linked in blocks)
+        containers |= {zone for zone, chars in held.items() if chars and 2 * chars >= total}
+        blocks = [b for b, named in zip(blocks, within, strict=True) if containers.issuperset(named)]
     return blocks, counts
 
 
@@ -156,37 +173,35 @@ def trunk(path: str) -> str:
     return "/".join(elements)
 
 
-def article_path(slots: list[tuple[str, int, int, bool]]) -> str:
-    """The template's article zone. slots: path, characters, characters in links, one text on all pages."""
-    weights: dict[str, int] = {}
-    for path, chars, linked, fixed in slots:
-        if not fixed and 2 * linked <= chars:
-            weights[trunk(path)] = weights.get(trunk(path), 0) + chars
-    for name in ("article", "main"):
-        named = {p: c for p, c in weights.items() if p.rpartition("/")[2].split(".")[0] == name}
-        if named:
-            return max(named, key=lambda p: (named[p], p))
-    best, total = "", sum(weights.values())
-    for path in weights:
-        elements = path.split("/")
-        for k in range(1, len(elements) + 1):
-            prefix = "/".join(elements[:k])
-            held = sum(c for p, c in weights.items() if p == prefix or p.startswith(prefix + "/"))
-            if held >= COVER * total and len(prefix) > len(best):
-                best = prefix
-    return best
+def zone_name(path: str) -> str:
+    return trunk(path).rpartition("/")[2].split(".")[0]
+
+
+def article_zones(slots: list[tuple[str, int, int, bool]]) -> list[str]:
+    """The template's articles and mains, or all of it. slots: path, characters, characters in links, one text on all pages."""
+    return sorted({trunk(p) for p, chars, linked, fixed in slots if not fixed and 2 * linked <= chars and zone_name(p) in ("article", "main")}) or [""]
+
+
+def link_lists(slots: list[tuple[str, int, int]]) -> set[str]:
+    """Paths outside of articles whose text is mostly links."""
+    return {p for p, chars, linked in slots if 2 * linked > chars and zone_name(p) not in ("article", "main")}
 
 
 def chosen_text(blocks: list[tuple[str, str, int]], article: str | None, fixed: set[str]) -> str:
-    """The blocks of the article zone in page order; of the page's own zone where it has no such zone."""
+    """The blocks of the article zones in page order; of the page's own zones where it has no such zone."""
 
-    def within(zone: str) -> list[tuple[str, str, int]]:
-        return [b for b in blocks if b[0] == zone or b[0].startswith(zone + "/") or not zone]
+    def within(zones: list[str]) -> list[tuple[str, str, int]]:
+        return [b for b in blocks if any(b[0] == z or b[0].startswith(z + "/") or not z for z in zones)]
 
-    found = within(article) if article is not None else []
+    found = within(article.split("\n")) if article is not None else []
     if not found and blocks:
-        fixed = set()
-        found = within(article_path([(p, len(t), n, False) for p, t, n in blocks]))
+        slots: dict[str, list[int]] = {}
+        for p, t, n in blocks:
+            slot = slots.setdefault(p, [0, 0])
+            slot[0] += len(t)
+            slot[1] += n
+        fixed = link_lists([(p, *x) for p, x in slots.items()])
+        found = within(article_zones([(p, *x, False) for p, x in slots.items()]))
     return "\n\n".join(t for p, t, _ in found if p not in fixed)
 
 
@@ -248,7 +263,7 @@ def mixed_hash(seed: int, count: int) -> int:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """For each host: its article path, the paths of slots with one text, and the classes of its template (as paths)."""
+    """For each host: its article zones (a line each), the paths of slots that go, and the classes of its template (as paths)."""
     tokens = _token_table(pages)
     # Tokens with one occurrence vector are one class; the host's own row (path "") has the vector of what stands once on every page.
     slot = F.struct("path", "pages", "vector", "most", "chars", "linked", (F.col("low") == F.col("high")).alias("fixed"))
@@ -263,11 +278,14 @@ def templates(pages: DataFrame) -> DataFrame:
                     classes.setdefault(s["vector"], []).append(s["path"])
             template = [sorted(paths) for paths in classes.values() if valid(paths)]
             known = {p for paths in template for p in paths}
-            fixed = [s["path"] for s in slots if s["fixed"] and s["chars"] and total >= LEAST_PAGES and s["path"] in known and trunk(s["path"]).rpartition("/")[2].split(".")[0] not in ("article", "main")]
+            article = "article" if any(s["chars"] and zone_name(s["path"]) == "article" for s in slots) else "main"
+            fixed = [s["path"] for s in slots if s["fixed"] and s["chars"] and total >= LEAST_PAGES and s["path"] in known and zone_name(s["path"]) not in ("article", article)]
             if 2 * sum(s["chars"] for s in slots if s["path"] in fixed) > sum(s["chars"] for s in slots):
                 fixed = []  # the pages are copies of each other, so what is fixed is no template
-            zone = article_path([(s["path"], s["chars"], s["linked"], s["path"] in fixed) for s in slots if s["path"]])
-            return zone, sorted(fixed), sorted(template)
+            texts = [s for s in slots if s["path"] and s["chars"]]
+            zones = article_zones([(s["path"], s["chars"], s["linked"], s["path"] in fixed) for s in texts])
+            lists = link_lists([(s["path"], s["chars"], s["linked"]) for s in texts])
+            return "\n".join(zones), sorted(lists.union(fixed)), sorted(template)
 
         return kernel
 

@@ -145,6 +145,24 @@ def test_html_extraction(spark):
     assert html_extract.extracted(pages_frame(spark, [])).count() == 0
 
 
+def test_html_layouts_keep_the_whole_article(spark):
+    layouts = {
+        "container": ("<div id=content class='has-sidebar'><h1>Head {k}</h1><p>Body {k} of the text</p></div>", "Head {k}\n\nBody {k} of the text"),
+        "title": ("<div class='entry-header'><h1>Head {k}</h1></div><div class=text><p>Body {k} of a rather longer text, so that it weighs more than the headline</p></div>", "Head {k}\n\nBody {k} of a rather longer text, so that it weighs more than the headline"),
+        "leaf": ("<article><p>First {k}<p class=notice>Note {k} <span class=tags>inline</span></article>", "First {k}\n\nNote {k} inline"),
+        "parts": ("<article class=one><p>Part {k} one, long enough</p></article><div class=links><a href=/>Link {k}</a></div><article class=two><p>Two {k}</p></article>", "Part {k} one, long enough\n\nTwo {k}"),
+        "main": ("<main><p>Lead {k}</p><article><p>Text {k}</p></article></main>", "Lead {k}\n\nText {k}"),
+        "lead": ("<div class=lead>Lead {k}</div><div class=story><p>" + "Long text {k}. " * 20 + "</p></div><div class=more><a href=/>Link {k}</a></div>", "Lead {k}\n\n" + ("Long text {k}. " * 20).strip()),
+    }
+    rows, want = [], {}
+    for name, (body, text) in layouts.items():
+        for k in range(4):
+            want[len(rows)] = text.replace("{k}", str(k))
+            rows.append((len(rows), f"http://{name}.org/{k}", page(k, body.replace("{k}", str(k)))))
+    for r in html_extract.extracted(pages_frame(spark, rows)).collect():
+        assert r["text"] == want[r["page_id"]], rows[r["page_id"]][1]
+
+
 def test_html_truth_of_the_pages(spark):
     from html import unescape
 
