@@ -1,15 +1,16 @@
-"""Main text of web pages by deducing each host's template from equivalence classes of tokens.
+"""Main text of web pages by each host's fixed slots, link density and the names of zones.
 
 A token is a tag with its path of block elements, or a slot's text. Over the pages of a host every token has an
 occurrence vector: how often it stands on each page. Tokens with equal vectors form a class. Classes whose tokens stand
-on all of the host's pages, the same number of times, are the template; they nest by their paths. What varies between
-the template's tokens are its slots: those with one text on all pages, with links, or in zones that aren't the article
+on all of the host's pages, the same number of times, are the template. They are reported; the text depends on them only
+in that a fixed slot must stand in a class whose paths share their first element. Slots are the paths with text: those
+with one text on all pages, with mostly links, or in zones that aren't the article
 (by element, or by class, id or role of an element that is no container) go; all articles and mains are the article, and
 without any, all other slots.
 
 Scale: a vector is kept as a sum of hashes of (page, count), so a host's vectors are built by partial sums on the map
-side and a shuffle of one row for each token, host and task; no page and no host is gathered anywhere. A host's model
-is a few paths; the models are joined to the pages by host (Spark broadcasts them if they are small, else it splits
+side and a shuffle of one row for each token, host and task; no page is gathered anywhere, but all paths of a host are
+one row, which isn't bounded where paths grow with the pages. A host's model is a few paths; the models are joined to the pages by host (Spark broadcasts them if they are small, else it splits
 skewed hosts). Pages are parsed twice, which is cheaper than shuffling their parsed form.
 
 Null and empty pages have no text. A page without the host's article zone, or the only page of its host, is its own
