@@ -174,11 +174,103 @@ def test_html_truth_of_the_pages(spark):
         assert r["text"] == "\n\n".join(x for x in blocks if x)
 
 
-def test_template_classes(spark):
+def test_html_zones_and_odd_pages(spark):
+    """Names count as whole words; nothing is cut by depth or by the length of a name; comments aren't the article."""
+    deep = "<div>" * 300
+    cases = {
+        "flag": ('<div class="page has-sidebar"><article><p>Hello {k}</p></article></div>', "Hello {k}"),
+        "nocomments": ('<div id="content" class="no-comments"><p>Body {k}</p></div>', "Body {k}"),
+        "heading": ('<article><header class="entry-header"><h1>Title {k}</h1></header><p>Text {k}</p></article>', "Title {k}\n\nText {k}"),
+        "warning": ('<article><p>One {k}</p><p class="warning">Two {k}</p></article>', "One {k}\n\nTwo {k}"),
+        "comments": ('<main><article>story {k}</article><article class="comment">a much longer comment about it {k}, and on and on</article></main>', "story {k}"),
+        "elements": ("<article><p>Sum <math><mi>x{k}</mi></math></p><canvas>drawn {k}</canvas><object>held {k}</object><form><select><option>no</select></form></article>", "Sum x{k}\n\ndrawn {k}\n\nheld {k}"),
+        "deep": (f'{deep}<div class="zone{{k}}"><p>Deep {{k}}</p></div><div class="comments"><p>reader {{k}}</p></div>', "Deep {k}"),
+        "names": (f'<div class="{"x" * 60}one"><p>Kept {{k}} of some length</p></div><div class="{"x" * 60}two"><a href=/>gone {{k}}</a></div>', "Kept {k} of some length"),
+    }
+    rows, want = [], {}
+    for name, (body, text) in cases.items():
+        for k in range(4):
+            want[len(rows)] = text.replace("{k}", str(k))
+            rows.append((len(rows), f"http://{name}.org/{k}", f"<html><body><nav><a href=/>Home</a></nav>{body.replace('{k}', str(k))}</body></html>"))
+    rows += [(900, "http://deep.org/x", "<div class=ad>" * 20_000 + "ad" + "</b>" * 20_000), (901, "http://long.org/", "<p>" + "word " * 200_000)]
+    want |= {900: "ad", 901: ("word " * 200_000).strip()}
+    for r in html_extract.extracted(pages_frame(spark, rows)).collect():
+        assert r["text"] == want[r["page_id"]], rows[min(r["page_id"], 31)][2][:200]
+
+
+def brute_fixed(pages):
+    """The texts of a host's template by its definition, from whole count vectors; places are tuples of elements."""
+    parsed = [html_extract.Page(x) for x in pages]
+    around = {place: tag[0] for p in parsed for place, tag in p.tags.items()}
+    tags = {place: tuple(p.tags[place][1] if place in p.tags else 0 for p in parsed) for place in around}
+    texts = {}
+    for k, p in enumerate(parsed):
+        for place, text, *_ in p.blocks:
+            texts.setdefault((place, text), [0] * len(parsed))[k] += 1
+
+    def chain(place):
+        while place in tags:
+            yield place
+            place = around[place]
+
+    slots, region = {}, Counter()
+    for (place, text), vector in texts.items():
+        if sum(map(bool, vector)) >= 3:
+            slot = next((x for x in chain(place) if tags[x] == tuple(vector)), None)
+            if slot is not None:
+                slots.setdefault(slot, []).append((place, text, len(text) * sum(vector)))
+    for slot in slots:
+        for (place, text), vector in texts.items():
+            if next((x for x in chain(place) if tags[x] == tags[slot]), None) == slot:
+                region[slot] += len(text) * sum(vector)
+    return {(place, text) for slot, own in slots.items() if 2 * sum(n for *_, n in own) >= region[slot] for place, text, _ in own}
+
+
+def template_pages():
+    """A host without any article element or telling name: only the vectors tell its frame from its text."""
+    rng = random.Random(3)
+    words = "lorem ipsum dolor sit amet elit sed do tempor".split()
+    out = []
+    for k in range(6):
+        text = "".join(f"<p>{' '.join(rng.choice(words) for _ in range(20))} {k}</p>" for _ in range(rng.randint(1, 4)))
+        promo = "<section><div>Sale this week only</div></section>" if k % 2 else ""
+        desk = "Filed by the news desk" if k < 3 else f"By {k}"  # often the same, but not wherever its element stands
+        out.append(f"<html><body><div>The daily paper</div><div><span>Est. 1900</span></div>{promo}<div><h2>Story {k}</h2><div class=desk>{desk}</div>{text}</div><div>Printed on recycled pixels</div></body></html>")
+    return out
+
+
+def test_html_template_against_brute_force(spark):
+    pages = template_pages()
+    rows = [(k, f"http://frame.org/{k}", x) for k, x in enumerate(pages)]
+    model = html_extract.templates(pages_frame(spark, rows)).first()
+    want = brute_fixed(pages)
+    assert set(model["fixed"]) == {html_extract.hashed(text, place) for place, text in want}
+    assert {"The daily paper", "Est. 1900"} <= {text for _, text in want} and not any("Story" in text for _, text in want)
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages_frame(spark, rows)).collect()}
+    for k, html in enumerate(pages):
+        assert got[k].startswith(f"Story {k}\n\n{'Filed by the news desk' if k < 3 else f'By {k}'}\n\n") and "Est." not in got[k] and "daily" not in got[k]
+    # The vectors decide: with all of them equal, other texts remain.
+    same = [dict(t, low=0, high=0) for t in tokens_of(spark, rows)]
+    assert set(html_extract.deduced(same)[0]) != set(model["fixed"])
+
+
+def tokens_of(spark, rows):
+    return [r.asDict() for r in html_extract.token_table(pages_frame(spark, rows)).filter("pages >= 3 or kind <= 1").collect()]
+
+
+def test_html_classes_nest(spark):
     rows = [(k, f"http://h.org/{k}", page(k, f"<article><h1>H{k}</h1>" + "<p>x</p>" * k + "</article>")) for k in range(1, 6)]
+    place = lambda *elements: __import__("functools").reduce(lambda seed, x: html_extract.hashed(x, seed), elements, 0)
     model = html_extract.templates(pages_frame(spark, rows)).first()
-    once = next(c for c in model["classes"] if "/html/body.home/article/h1" in c)
-    assert "/html/body.home/footer" in once and model["article"] == "/html/body.home/article" and "/html/body.home/article/p" not in once
+    article = place("html[1]", "body.home", "article[1]")
+    once = next(c for c in model["classes"] if article in c)
+    assert place("html[1]", "body.home", "footer[1]") in once and html_extract.hashed("h1", article) in once
+    assert html_extract.hashed("p", article) not in once and any(c == [html_extract.hashed("p", article)] for c in model["classes"])
+    # A class whose outermost tags lie in different classes doesn't nest.
+    tag = lambda token, around, v: {"token": token, "around": around, "kind": html_extract.TAG, "pages": 5, "low": v, "high": v, "contents": 31, "chars": 9, "linked": 0}
+    whole = {"token": 0, "around": 0, "pages": 5, "low": 1, "high": 1, "contents": 31, "chars": 90, "linked": 0}
+    tokens = [whole | {"kind": 0}, whole | {"token": 1, "kind": 1, "chars": 0}, tag(10, 0, 1), tag(11, 10, 2), tag(12, 10, 3), tag(13, 11, 3)]
+    assert html_extract.deduced(tokens)[4] == [[10], [11]]
 
 
 def test_pipeline(spark):
