@@ -1,13 +1,15 @@
 """Quality rules under weak supervision: rules vote or abstain, and a label model weighs their votes.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. Expectation-maximisation over the counts of the vote
-patterns of all documents estimates how often each rule votes what on good and on bad documents, and how many are bad;
-the posterior probability of good quality, not a chain of must-pass rules, decides.
+patterns of all documents estimates each rule's accuracy, how often it abstains, and how many documents are of which
+class; the posterior probability of good quality, not a chain of must-pass rules, decides. So one bad vote of a rule
+that the others contradict doesn't drop a document, and several abstentions that usually go with bad votes can.
 
 Scale: the statistics are computed in one narrow pass and written once. Vote patterns are counted with partial sums on
 the map side; at most ``3 ** len(RULES)`` of them reach the driver, whatever the corpus's size.
 
 Null, empty and word-less texts have no words: they fail the base rule. Repeated rows count, and are judged, one by one.
+A posterior of exactly ``LEAST_POSTERIOR`` keeps a document.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
 WINDOW = 5
 LEAST_POSTERIOR = 0.5
-#: Documents that the expected votes count for, in each class.
-PRIOR = 20.0
-#: Bounds of P(bad vote): on good documents, and in the bad class that the rule is for.
-MOST_FALSE, LEAST_OWN = 0.01, 0.9
+#: Every rule is taken to be right this often, when the estimation begins; what it ends with is free.
+FIRST_ACCURACY = 0.7
+#: Documents that a rule's first accuracy counts for in each class, and those that its overall share of abstentions does.
+PRIOR, ABSTENTIONS = 1.0, 20.0
 #: Base rule: fewer words, or a larger share (in per cent) of words in repeated windows, fail.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
@@ -92,7 +94,11 @@ def _share(part: str, whole: str, good: float, bad: float) -> Column:
 
 
 def _word_length(mean: Column) -> Column:
-    return _rule(mean, mean.between(3, 9), ~mean.between(2, 14))
+    return _rule(mean, mean.between(3.5, 6.5), ~mean.between(3, 7))
+
+
+def _variety(share: Column) -> Column:
+    return _rule(share, share >= 0.5, share < 0.3)
 
 
 #: The rules, by name. Division by zero gives null, on which a rule abstains.
@@ -100,12 +106,15 @@ RULES: dict[str, Callable[[], Column]] = {
     "length": lambda: _rule(F.col("n_words"), F.col("n_words") >= 40, F.col("n_words") < LEAST_WORDS),
     "word_length": lambda: _word_length(F.try_divide(F.col("word_chars"), F.col("n_words"))),
     "symbols": lambda: _share("n_symbols", "n_words", 0.02, 0.1),
-    "repetition": lambda: _share("n_repeat_words", "n_words", 0.05, 0.2),
-    "copied_lines": lambda: _share("n_dup_lines", "n_lines", 0.1, 0.6),
-    "shouting": lambda: _share("n_upper", "word_chars", 0.1, 0.3),
-    "exclamations": lambda: _share("n_exclaims", "n_words", 0.02, 0.1),
-    "stutter": lambda: _share("n_same_next", "n_words", 0.02, 0.1),
+    "repetition": lambda: _share("n_repeat_words", "n_words", 0.05, 0.15),
+    "copied_lines": lambda: _share("n_dup_lines", "n_lines", 0.05, 0.2),
+    "shouting": lambda: _share("n_upper", "word_chars", 0.05, 0.15),
+    "exclamations": lambda: _share("n_exclaims", "n_words", 0.02, 0.05),
+    "stutter": lambda: _share("n_same_next", "n_words", 0.02, 0.05),
+    "variety": lambda: _variety(F.try_divide(F.col("n_distinct"), F.col("n_words"))),
 }
+#: Rules that look for one kind of bad quality: their votes go together, so each kind is a class of its own.
+KINDS = [("repetition", "copied_lines", "shouting", "exclamations", "stutter", "variety"), ("symbols", "word_length"), ("length",)]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -115,50 +124,47 @@ def measured(docs: DataFrame) -> DataFrame:
     return stored(with_stats.withColumn("votes", votes), "quality")
 
 
-def label_model(patterns: dict[str, int], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the classes, and P(vote | class, the rule votes) by class, rule and vote (bad, none, good).
-
-    A rule that abstains says nothing: its entry is 1.
+def label_model(patterns: dict[str, int], kinds: list[tuple[int, ...]], rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes, and P(vote | class) by class, rule and vote (bad, none, good).
 
-    Class 0 is good. Bad documents are bad in different ways, which hardly meet in one document, so there is a bad
-    class for each rule: the way that this rule is meant to find. Expectation-maximisation starts there. So that the
-    classes keep their meaning, a rule's bad votes stay rare on good documents and usual in its own bad class, and
-    pseudo-counts hold where the corpus has few of a kind.
+    Class 0 is good. Rules for one kind of bad quality agree with each other and not with the rest, so each kind (the
+    numbers of its rules) has a class. All accuracies begin at ``FIRST_ACCURACY``: on documents of its own kind a rule
+    votes bad that often, on all others it votes good that often. From there they are free, and agreement decides.
+    Pseudo-counts only hold what the corpus has no documents for.
     """
     votes = np.array([[int(c) for c in p] for p in patterns])
     counts = np.array(list(patterns.values()), float)
-    rules = votes.shape[1]
-    expected = np.tile(np.array([0.002, 0.0, 0.998]), (rules + 1, rules, 1))
-    expected[np.arange(rules) + 1, np.arange(rules)] = [0.95, 0.0, 0.05]
-    shares = np.array([0.9, *[0.1 / rules] * rules])
-    table = np.where(np.arange(3) == 1, 1.0, expected)
+    rules, classes = votes.shape[1], len(kinds) + 1
+    silent = np.array([(counts[votes[:, k] == 1].sum() + 1) / (counts.sum() + 3) for k in range(rules)])
+    first = np.full((classes, rules), 1 - FIRST_ACCURACY)  # P(bad | the rule votes)
+    for c, kind in enumerate(kinds, 1):
+        first[c, list(kind)] = FIRST_ACCURACY
+    bad, none, shares = first, np.tile(silent, (classes, 1)), np.full(classes, 1 / classes)
+    table = np.stack([bad * (1 - none), none, (1 - bad) * (1 - none)], axis=2)
     for _ in range(rounds):
-        logs = np.log(shares) + class_logs(votes, table)
-        weight = np.exp(logs - logs.max(axis=1, keepdims=True))
-        weight *= (counts / weight.sum(axis=1))[:, None]
-        new = np.stack([[np.bincount(votes[:, k], weight[:, c], 3) for k in range(rules)] for c in range(rules + 1)]) + PRIOR * expected
-        bad = new[..., 0] / (new[..., 0] + new[..., 2])
-        bad[0] = np.minimum(bad[0], MOST_FALSE)
-        own = np.arange(rules) + 1, np.arange(rules)
-        bad[own] = np.maximum(bad[own], LEAST_OWN)
-        new = np.stack([bad, np.ones_like(bad), 1 - bad], axis=2)
-        shares = (weight.sum(axis=0) + 1) / (counts.sum() + rules + 1)
+        weight = posteriors(votes, shares, table) * counts[:, None]
+        found = np.stack([[np.bincount(votes[:, k], weight[:, c], 3) for k in range(rules)] for c in range(classes)])
+        bad = (found[..., 0] + PRIOR * first) / (found[..., 0] + found[..., 2] + PRIOR)
+        none = (found[..., 1] + ABSTENTIONS * silent) / (found.sum(axis=2) + ABSTENTIONS)
+        new = np.stack([bad * (1 - none), none, (1 - bad) * (1 - none)], axis=2)
+        shares = (weight.sum(axis=0) + 1) / (counts.sum() + classes)
         moved, table = np.abs(new - table).max(), new
-        if moved < 1e-9:
+        if moved < 1e-10:
             break
     return shares, table
 
 
-def class_logs(votes: np.ndarray, table: np.ndarray) -> np.ndarray:
+def posteriors(votes: np.ndarray, shares: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The probability of each class, by vote pattern and class."""
     logs = np.log(table)
-    return sum(logs[:, k, votes[:, k]].T for k in range(votes.shape[1]))
+    each = np.log(shares) + sum(logs[:, k, votes[:, k]].T for k in range(votes.shape[1]))
+    weight = np.exp(each - each.max(axis=1, keepdims=True))
+    return weight / weight.sum(axis=1, keepdims=True)
 
 
-def posterior(votes: np.ndarray, shares: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The probability of class 0."""
-    logs = np.log(shares) + class_logs(votes, table)
-    weight = np.exp(logs - logs.max(axis=1, keepdims=True))
-    return weight[:, 0] / weight.sum(axis=1)
+def kind_numbers() -> list[tuple[int, ...]]:
+    names = list(RULES)
+    return [tuple(map(names.index, kind)) for kind in KINDS]
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -167,7 +173,7 @@ def judged(docs: DataFrame) -> DataFrame:
     patterns = {r["votes"]: r["count"] for r in stats.groupBy("votes").count().collect()}  # 3 ** len(RULES) rows at most
     quality = F.lit(None).cast("double")
     if patterns:
-        shares, table = label_model(patterns)
+        shares, table = label_model(patterns, kind_numbers())
         logs = [math.log(x) + sum(F.get(F.array(*map(F.lit, np.log(rule).tolist())), F.substring("votes", k + 1, 1).cast("int")) for k, rule in enumerate(of)) for x, of in zip(shares.tolist(), table, strict=True)]
         quality = 1 / sum(F.exp(x - logs[0]) for x in logs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

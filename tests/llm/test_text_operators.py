@@ -194,6 +194,54 @@ def test_quality_model_agrees_with_labels(spark):
     assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.97 * len(good)
 
 
+def plain_label_model(patterns, kinds):
+    """Expectation-maximisation with plain loops."""
+    total, rules = sum(patterns.values()), len(next(iter(patterns)))
+    silent = [(sum(n for p, n in patterns.items() if p[k] == "1") + 1) / (total + 3) for k in range(rules)]
+    first = [[0.3] * rules, *([0.7 if k in kind else 0.3 for k in range(rules)] for kind in kinds)]
+    chance = lambda bad, none: {"0": bad * (1 - none), "1": none, "2": (1 - bad) * (1 - none)}
+    table = [[chance(row[k], silent[k]) for k in range(rules)] for row in first]
+    shares = [1 / len(first)] * len(first)
+
+    def weights(p):
+        each = []
+        for share, row in zip(shares, table, strict=True):
+            for k in range(rules):
+                share *= row[k][p[k]]
+            each.append(share)
+        return [x / sum(each) for x in each]
+
+    for _ in range(2000):
+        found = [[dict.fromkeys("012", 0.0) for _ in range(rules)] for _ in first]
+        sizes = [0.0] * len(first)
+        for p, n in patterns.items():
+            for c, w in enumerate(weights(p)):
+                sizes[c] += w * n
+                for k in range(rules):
+                    found[c][k][p[k]] += w * n
+        before = table
+        table = [[chance((x["0"] + first[c][k]) / (x["0"] + x["2"] + 1), (x["1"] + 20 * silent[k]) / (sum(x.values()) + 20)) for k, x in enumerate(row)] for c, row in enumerate(found)]
+        shares = [(x + 1) / (total + len(first)) for x in sizes]
+        if max(abs(a[v] - b[v]) for r, s in zip(table, before, strict=True) for a, b in zip(r, s, strict=True) for v in "012") < 1e-10:
+            break
+    return {p: weights(p)[0] for p in patterns}
+
+
+def test_quality_verdict_against_a_plain_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    stats = quality.measured(docs)
+    patterns = {r["votes"]: r["count"] for r in stats.groupBy("votes").count().collect()}
+    want = plain_label_model(patterns, quality.kind_numbers())
+    votes = {r["doc_id"]: r["votes"] for r in stats.select("doc_id", "votes").collect()}
+    loose = strict = 0
+    for r in quality.judged(docs).collect():
+        own = votes[r["doc_id"]]
+        assert r["quality"] == pytest.approx(want[own], abs=1e-9) and r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
+        loose += r["kept"] and "0" in own
+        strict += not r["kept"] and not r["base_failed"] and "0" not in own
+    assert loose > 20 and strict > 10  # kept with a bad vote, and dropped without one: not a chain of must-pass rules
+
+
 def test_tokens_against_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
