@@ -2,17 +2,25 @@
 
 Fingerprints are reduced to distinct ones, so exact copies never meet in a join. The trie of the sorted fingerprints is
 joined with itself: node pairs are traversed together, differing bits add up, and a pair is left as soon as it exceeds
-the error budget. Of two fingerprints with at most k differing bits, one half has at most k/2 of them; so the trie is
-joined twice, once from each half, with the budget k/2 for the first 32 bits and k for all. A node pair whose leaves
-are in one component already is left too, which keeps dense groups of near copies from costing all their pairs.
+the error budget. Of two fingerprints with at most k differing bits, one of their h halves of 64-bit words has at most
+k/h of them; so the trie is joined h times, each time with another half in front and the budget k/h for its 32 bits, and
+k for all. A node pair whose leaves are in one component already is left too, which keeps dense groups of near copies
+from costing all their pairs.
+
+``near_duplicates`` has the fingerprints of its contract: 64 bits, 4-word shingles, 4 bits. ``deduplicated`` has 128
+bits and ``WIDE`` words; its budget of ``WIDE_BITS`` is what two texts with a Jaccard similarity of 0.8 differ in (19.4
+bits expected) and one standard deviation, and its halves may have ``WIDE_HALF`` bits: with 5 no pair within the budget
+would be missed, at many times the cost. The estimate is loose by nature; tests measure the share of pairs it finds.
 
 Scale: the first levels of the traversal are a shuffle. Each fingerprint goes to its own node at depth d, and to the
-nodes within k/2 bits whose number is larger; d grows with the number of fingerprints, so that a node holds about
-``NODE_SIZE``. A node with more than ``BLOCK_SIZE`` is split into blocks that meet pairwise, so no task holds a hot
-node as a whole. Tasks return a star for each of their components, never all pairs.
+nodes within the half's budget whose number is larger; d grows with the number of fingerprints, so that a node holds
+about ``NODE_SIZE``. What a node receives, its own keys and its visitors, is counted; beyond ``BLOCK_SIZE`` both are
+split into blocks that meet pairwise, so no task holds a hot node as a whole. Tasks return a star for each of their
+components, never all pairs. Keys of joins with more than their share of the rows are joined apart (``spread_join``).
 
 Null and empty texts have no words and the fingerprint zero, which is linked like any other. Documents with null ids
-get their component's smallest id, null if it has none. Repeated rows are exact copies.
+get their component's smallest id, null if it has none. Repeated rows are exact copies; rows with one id and different
+texts are different documents.
 """
 
 from __future__ import annotations
@@ -21,52 +29,64 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .spark_util import checkpointed, map_texts, stored
+from .spark_util import checkpointed, map_rows, set_aside, spread_join, stored
 
 WIDTH, SEED, MOST_BITS = 4, 42, 4
-NODE_SIZE, BLOCK_SIZE = 4096, 65_536
+#: Words of a shingle, differing bits of 128, and of the 32 in front, in ``deduplicated``.
+WIDE, WIDE_BITS, WIDE_HALF = 5, 23, 3
+NODE_SIZE, BLOCK_SIZE = 32_768, 65_536
+#: Rows of split nodes that are broadcast: there is one for ``BLOCK_SIZE`` arrivals at most.
+MOST_SPLIT = 1_000_000
 #: Shingles that are hashed at once, and fingerprint pairs that are compared at once.
 PIECE, COMPARED = 200_000, 2_000_000
 #: Node pairs of this many fingerprint pairs or fewer are compared directly.
-LEAF = 256
+LEAF = 64
 #: For each byte, its bits in the bytes of a 64-bit number: 255 of them can be added without a carry.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
 
-def fingerprint(text: bytes | None) -> int:
-    """The 64 majority bits of the shingles' XXH64, as a signed number; 0 without words."""
+def fingerprint(text: bytes | None, width: int = WIDTH, words: int = 1) -> tuple[int, ...]:
+    """The majority bits of the shingles' hashes, as signed 64-bit words; 0 without words. One word: XXH64; two: XXH3-128."""
     import xxhash
 
     found = text.lower().split() if text else []
     if not found:
-        return 0
+        return (0,) * words
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: max(1, len(found) - WIDTH + 1)]
-    ends, digest = ends[min(WIDTH, len(found)) - 1 :], xxhash.xxh64_intdigest
-    ones = np.zeros((8, 8), np.int64)
+    starts = (ends - lengths)[: max(1, len(found) - width + 1)]
+    ends, digest = ends[min(width, len(found)) - 1 :], xxhash.xxh64_digest if words == 1 else xxhash.xxh3_128_digest
+    size = 8 * words
+    ones = np.zeros((size, 8), np.int64)
     for i in range(0, len(starts), PIECE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + PIECE].tolist(), ends[i : i + PIECE].tolist(), strict=True)], np.uint64)
-        sums = np.add.reduceat(SPREAD[hashes.view(np.uint8).reshape(-1, 8)], np.arange(0, len(hashes), 255), axis=0)
-        ones += sums.view(np.uint8).reshape(-1, 8, 8).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones.ravel() > len(starts), bitorder="little").view(np.int64)[0])
+        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + PIECE].tolist(), ends[i : i + PIECE].tolist(), strict=True)])
+        bits = SPREAD[np.frombuffer(hashes, np.uint8).reshape(-1, size)[:, ::-1]]
+        sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
+        ones += sums.view(np.uint8).reshape(-1, size, 8).sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones.ravel() > len(starts), bitorder="little").view(np.int64).tolist())
+
+
+def fingerprints(docs: DataFrame, carry: list[str], width: int = WIDTH, words: int = 1) -> DataFrame:
+    """The ``carry`` columns, and fp, fp1 ...: a column for each word."""
+    schema = ", ".join(f"{name} bigint" for name in word_names(words))
+    return map_rows(docs, carry, ["text"], schema, lambda: lambda text: fingerprint(text, width, words))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp."""
-    return map_texts(docs, "fp bigint", lambda: lambda text: (fingerprint(text),))
+def word_names(words: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, words))]
 
 
 class TrieJoin:
     """The trie of sorted keys: a node is a range of them that share their first bits."""
 
-    def __init__(self, keys: np.ndarray, most: int) -> None:
-        self.keys, self.most, self.half = keys, most, most // 2
+    def __init__(self, keys: np.ndarray, rest: np.ndarray, most: int, half: int) -> None:
+        """keys: sorted; rest: [word, key] the fingerprints' other words. most: differing bits of the whole; half: of the first 32."""
+        self.keys, self.rest, self.most, self.half = keys, rest, most, half
         self.root = np.arange(len(keys))
 
     def _merge(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -99,8 +119,11 @@ class TrieJoin:
             wide = np.repeat((b1 - b0)[lo:hi], n)
             i, j = np.repeat(a0[lo:hi], n) + k // wide, np.repeat(b0[lo:hi], n) + k % wide
             x = self.keys[i] ^ self.keys[j]
-            near = (i != j) & (np.bitwise_count(x) <= self.most)
-            near &= np.bitwise_count(x >> np.uint64(32)) <= self.half
+            near = np.flatnonzero((np.bitwise_count(x >> np.uint64(32)) <= self.half) & (i != j))
+            i, j, bits = i[near], j[near], np.bitwise_count(x[near])
+            for word in self.rest:
+                bits = bits + np.bitwise_count(word[i] ^ word[j])
+            near = bits <= self.most
             self._merge(i[near], j[near])
 
     def _split(self, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
@@ -138,75 +161,110 @@ class TrieJoin:
                 stack.append((depth + 1, *(x[ok] for x in ahead)))
 
 
-def joined_node(keys: np.ndarray, home: np.ndarray, depth: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (key, root's key) of what a node's keys and its visitors link."""
+#: What meets in a task: a whole node; two blocks of its own keys; a block of its own keys and one of its visitors.
+WHOLE, OWN, VISITED = 0, 1, 2
+
+
+def joined_node(keys: np.ndarray, rest: np.ndarray, home: np.ndarray, kind: int, depth: int, most: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (place of a key, place of its root) of what a node's keys and its visitors link."""
     order = np.argsort(keys, kind="stable")
     keys, home = keys[order], home[order]
-    join = TrieJoin(keys, most)
+    join = TrieJoin(keys, rest[:, order], most, half)
     nodes = keys >> np.uint64(64 - depth) if depth else np.zeros(len(keys), np.uint64)
     starts = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
     ends = np.append(starts[1:], len(keys))
-    at = int(np.flatnonzero(home[starts])[0]) if home.any() else -1
-    if at >= 0:
+    if home.any():
+        at = int(np.flatnonzero(home[starts])[0])
         own = np.full(len(starts), starts[at]), np.full(len(starts), ends[at])
         errors = np.bitwise_count(nodes[starts] ^ nodes[starts[at]]).astype(np.int64)
         mine = np.arange(len(starts)) == at
-        for part in (mine, ~mine):
+        for part in (mine,) * (kind != VISITED) + (~mine,) * (kind != OWN):
             join.run(starts[part], ends[part], own[0][part], own[1][part], errors[part], depth)
     moved = np.flatnonzero(join.root != np.arange(len(keys)))
-    return keys[moved], keys[join.root[moved]]
+    return order[moved], order[join.root[moved]]
+
 
+def split_nodes(keyed: DataFrame, own: Column, masks: list[int]) -> DataFrame:
+    """turn, node, and in how many blocks its own keys and its visitors are split, for nodes that receive more than ``BLOCK_SIZE``."""
+    sizes = checkpointed(keyed.groupBy("turn", own.alias("own")).count())
+    arrivals = sizes.select("turn", "own", "count", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("turn", F.col("own").bitwiseXOR(F.col("mask")).alias("node"), "own", "count").filter("node >= own")
+    is_own = F.col("node") == F.col("own")
+    both = arrivals.groupBy("turn", "node").agg(F.sum(F.when(is_own, F.col("count")).otherwise(0)).alias("n_own"), F.sum(F.when(is_own, 0).otherwise(F.col("count"))).alias("n_visitors"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_SIZE).cast("int")
+    return both.filter(F.col("n_own") + F.col("n_visitors") > BLOCK_SIZE).select("turn", "node", blocks("n_own").alias("own_blocks"), blocks("n_visitors").alias("visitor_blocks"))
 
-def links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Links ``a``, ``b`` between distinct ``fp`` that connect all that differ in ``most`` bits or fewer."""
-    count = distinct.count()
+
+def links(distinct: DataFrame, most: int = MOST_BITS, words: int = 1, half: int | None = None) -> DataFrame:
+    """Links ``a``, ``b`` that connect all distinct fingerprints that differ in ``most`` bits or fewer.
+
+    distinct: the words' columns and ``key_id``, which names a fingerprint in the links. half: the budget of the half in
+    front; a smaller one than ``most`` over the halves costs less and misses pairs that differ about equally in all.
+    """
+    names, count = word_names(words), distinct.count()
+    half = most // (2 * words) if half is None else half
     depth = min(24, max(0, int(np.ceil(np.log2(max(1, count) / NODE_SIZE)))))
-    masks = [sum(1 << b for b in bits) for n in range(most // 2 + 1) for bits in combinations(range(depth), n)]
-    key = F.when(F.col("turn") == 0, F.col("fp")).otherwise(F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)))
-    keyed = distinct.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"), "fp").select("turn", key.alias("key"))
+    masks = [sum(1 << b for b in bits) for n in range(min(half, depth) + 1) for bits in combinations(range(depth), n)]
+    turned = lambda x: F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32))
+    turns = [F.struct(F.lit(2 * w + odd).alias("turn"), (turned(n) if odd else F.col(n)).alias("key"), *(F.col(x).alias(f"rest{k}") for k, x in enumerate(y for y in names if y != n))) for w, n in enumerate(names) for odd in (0, 1)]
+    keyed = distinct.select("key_id", F.explode(F.array(*turns)).alias("x")).select("key_id", "x.*")
     own = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
-    sent = keyed.select("turn", "key", own.alias("own"), F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("turn", F.col("own").bitwiseXOR(F.col("mask")).alias("node"), "own", "key").filter("node >= own").select("turn", "node", "key", (F.col("node") == F.col("own")).alias("home"))
-    hot = keyed.groupBy("turn", own.alias("node")).count().filter(F.col("count") > BLOCK_SIZE).select("turn", "node", F.ceil(F.col("count") / BLOCK_SIZE).cast("int").alias("blocks"))
-    hot = checkpointed(hot)
-    pairs = ["turn", "node"]
-    if not hot.isEmpty():
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-        met = F.when(F.col("home"), F.transform(every, lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))).otherwise(F.transform(every, lambda j: F.struct(j.alias("i"), j.alias("j"))))
-        one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-        sent = sent.join(hot, ["turn", "node"], "left").withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(met))).select("turn", "node", "key", "home", "pair")
+    sent = keyed.withColumn("own", own).withColumn("node", F.explode(F.array(*map(F.lit, masks)))).withColumn("node", F.col("own").bitwiseXOR(F.col("node"))).filter("node >= own").withColumn("home", F.col("node") == F.col("own")).drop("own")
+    split = checkpointed(split_nodes(keyed, own, masks))
+    pairs, n_split = ["turn", "node"], split.count()
+    if n_split:
+        block = lambda n: F.pmod(F.xxhash64("key_id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+        upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        pair = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+        mine, theirs = block("own_blocks"), block("visitor_blocks")
+        home = F.concat(F.transform(upto("own_blocks"), lambda j: pair(F.least(j, mine), F.greatest(j, mine), OWN)), F.transform(upto("visitor_blocks"), lambda j: pair(mine, j, VISITED)))
+        away = F.transform(upto("own_blocks"), lambda i: pair(i, theirs, VISITED))
+        one = F.array(pair(F.lit(0), F.lit(0), WHOLE))
+        met = F.when(F.col("own_blocks").isNull(), one).when(F.col("home"), home).otherwise(away)
+        sent = sent.join(F.broadcast(split) if n_split <= MOST_SPLIT else split, ["turn", "node"], "left").withColumn("pair", F.explode(met)).drop("own_blocks", "visitor_blocks")
         pairs = [*pairs, "pair"]
 
     def join(table: pa.Table) -> pa.Table:
-        turn = table.column("turn")[0].as_py()
-        keys = table.column("key").to_numpy().view(np.uint64)
-        found = joined_node(keys, table.column("home").to_numpy(zero_copy_only=False), depth, most)
-        back = [(x << np.uint64(32) | x >> np.uint64(32)) if turn else x for x in found]
-        return pa.table({"a": back[0].view(np.int64), "b": back[1].view(np.int64)})
+        unsigned = lambda name: table.column(name).to_numpy().view(np.uint64)
+        rest = np.array([unsigned(f"rest{k}") for k in range(words - 1)], np.uint64).reshape(words - 1, table.num_rows)
+        kind = table.column("pair")[0].as_py()["kind"] if "pair" in table.column_names else WHOLE
+        a, b = joined_node(unsigned("key"), rest, table.column("home").to_numpy(zero_copy_only=False), kind, depth, most, half)
+        ids = table.column("key_id").to_numpy()
+        return pa.table({"a": ids[a], "b": ids[b]})
 
     return sent.groupBy(*pairs).applyInArrow(join, "a bigint, b bigint")
 
 
+def grouped(prints: DataFrame, best: Column, words: int, most: int, half: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of fingerprints: (key_id, best of its rows, root of its component) and (root, best of all its rows)."""
+    names = word_names(words)
+    # One word is its own name; of two, a hash is, as links are between numbers.
+    name = F.col("fp") if words == 1 else F.xxhash64(*names)
+    groups = checkpointed(prints.groupBy(*names).agg(F.min(best).alias("best")).withColumn("key_id", name))
+    roots = components(links(groups, most, words, half))
+    rooted = groups.select("key_id", "best").join(roots.withColumnRenamed("node", "key_id"), "key_id", "left").select("key_id", "best", F.coalesce("root", "key_id").alias("root"))
+    rooted = checkpointed(rooted)
+    return rooted, rooted.groupBy("root").agg(F.min("best").alias("best"))
+
+
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Per document: doc_id, fingerprint (hex) and component_id, the smallest doc_id that links lead to."""
-    prints = stored(fingerprints(docs), "fingerprints")
-    groups = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(groups.select("fp"), most))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = stored(fingerprints(docs, ["doc_id"]), "fingerprints")
+    rooted, least = grouped(prints, F.col("doc_id"), 1, most)
+    found = spread_join(rooted.select("key_id", "root"), least, "root").select(F.col("key_id").alias("fp"), F.col("best").alias("component_id"))
+    joined = spread_join(prints, found, "fp")
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """One document of each component, that with the smallest id, in the columns of ``docs``.
+def deduplicated(docs: DataFrame, most: int = WIDE_BITS, half: int = WIDE_HALF, width: int = WIDE) -> DataFrame:
+    """One row of each component, in the columns of ``docs``: that with the smallest id; null ids come last.
 
-    Documents with null ids can't be told apart and stay. Of rows with the same id one stays.
+    Every row is a document of its own, whatever its id: of rows with one id and different texts, each stays that no
+    other is like.
     """
-    found = near_duplicates(docs, most)
-    gone = stored(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    own, back = set_aside(docs, ("fp", "fp1", "row_place"))
+    placed = own.withColumn("row_place", F.monotonically_increasing_id())
+    prints = stored(fingerprints(placed, placed.columns, width, 2), "fingerprints")
+    rows = prints.select("fp", "fp1", "row_place", F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_place").alias("rank"))
+    _, least = grouped(rows, F.col("rank"), 2, most, half)
+    gone = stored(rows.select("row_place").join(least.select(F.col("best.row_place").alias("row_place")), "row_place", "left_anti"), "copies")
+    return prints.join(gone, "row_place", "left_anti").select(*back)

@@ -73,15 +73,17 @@ def map_rows(df: DataFrame, carry: list[str], inputs: list[str], schema: str, fa
     added = StructType.fromDDL(schema)
     out = StructType([*(df.schema[c] for c in carry), *added.fields])
     names, types, kept = out.names, [to_arrow_type(f.dataType) for f in added.fields], len(carry)
+    more = [c for c in inputs if c not in carry]  # what is carried anyway isn't sent twice
+    places = [carry.index(c) if c in carry else kept + more.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = factory()
         for batch in batches:
-            columns = [(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in batch.columns[kept:]]
+            columns = [(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in map(batch.column, places)]
             rows = list(zip(*map(kernel, *columns), strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(x, t) for x, t in zip(rows, types, strict=True))], names=names)
 
-    return df.select(*(F.col(f"`{c}`") for c in carry), *(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(inputs))).mapInArrow(run, out)
+    return df.select(*(F.col(f"`{c}`") for c in carry), *(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(more))).mapInArrow(run, out)
 
 
 def map_texts(df: DataFrame, schema: str, factory: Callable[[], Callable[[bytes | None], tuple]], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -93,3 +95,18 @@ def set_aside(df: DataFrame, taken: tuple[str, ...]) -> tuple[DataFrame, list[Co
     """The table with those of its columns renamed that an operator needs the names of; and all columns, named back."""
     own = {c: f"own_{k}_{c}" if c in taken else c for k, c in enumerate(df.columns)}
     return df.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), [F.col(f"`{n}`").alias(c) for c, n in own.items()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table that has each key once, however many rows of ``left`` one key has.
+
+    Keys with more than half a partition's share of the rows are fewer than twice the partitions, so their rows of
+    ``right`` are broadcast; all others are joined as usual.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = left.count()
+    hot = [r[0] for r in left.groupBy(key).count().filter(F.col("count") > max(1000, total // (2 * parts))).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key))

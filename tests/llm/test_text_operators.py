@@ -119,7 +119,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, most=4):
     parent = list(range(len(prints)))
 
     def find(i):
@@ -129,7 +129,7 @@ def brute_components(prints):
 
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 4:
+            if (a ^ prints[j]).bit_count() <= most:
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return [find(i) for i in range(len(prints))]
@@ -151,22 +151,91 @@ def test_simhash_against_brute_force(spark):
     roots = brute_components(prints)
     for r in rows:
         assert (r["fingerprint"], r["component_id"]) == (f"{prints[r['doc_id']]:016x}", roots[r["doc_id"]])
-    kept = simhash.deduplicated(frame(spark, [*enumerate(texts), (0, None)])).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(roots))
 
 
-def test_trie_join_with_hot_blocks(spark, monkeypatch):
+def wide_fingerprint(text):
+    w = (text or "").translate(LOWER).encode().split()
+    hashes = [xxhash.xxh3_128_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_deduplicated_against_brute_force(spark):
+    rng = random.Random(16)
+    texts = EDGES + random_texts(17, 60, "a b c d e f g h i j k l m n", 300)
+    for text in texts[10:50]:
+        w = text.split()
+        for _ in range(len(w) // 60):
+            w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    rows = [*enumerate(texts), (0, None), (3, texts[3]), (None, texts[20]), (None, "no other is like this"), (None, "no other is like this"), (7, "one id but another text")]
+    prints = [wide_fingerprint(t) for _, t in rows]
+    roots = brute_components(prints, simhash.WIDE_BITS)
+    best: dict = {}
+    for k, (doc_id, text) in enumerate(rows):
+        best.setdefault(roots[k], []).append((doc_id is None, doc_id or 0, text))
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(frame(spark, rows), half=5).collect()), key=str)
+    assert len(got) == len(best)
+    assert sorted((i for i, _ in got), key=str) == sorted((None if min(x, key=lambda y: y[:2])[0] else min(x, key=lambda y: y[:2])[1] for x in best.values()), key=str)
+
+
+def test_deduplicated_never_loses_a_text_with_a_repeated_id(spark):
+    a, b = " ".join(f"word{k}" for k in range(50)), " ".join(f"other{k}" for k in range(50))
+    for rows in ([(5, a), (5, b)], [(1, a), (2, a), (2, b)]):
+        got = simhash.deduplicated(frame(spark, rows)).collect()
+        assert sorted(r["text"] for r in got) == sorted([a, b])
+
+
+def test_similar_texts_are_deduplicated(spark):
+    """Of pairs of texts with a Jaccard similarity of their 5-word shingles from 0.8 to 0.95, most lose one; unlike texts stay."""
+    rng, rows, alike = random.Random(18), [], []
+    for k in range(400):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 400))]
+        other = list(w)
+        for at in rng.sample(range(5, len(w) - 5), max(1, round(len(w) * rng.uniform(0.005, 0.02)))):
+            other[at] = "changed"
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, other)]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if similarity >= 0.8:
+            rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+            alike.append((similarity, 2 * k + 1))
+    clean = [(10_000 + k, " ".join(f"w{rng.randrange(5000)}" for _ in range(100))) for k in range(300)]
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame(spark, [*rows, *clean])).collect()}
+    assert {i for i, _ in clean} <= kept and {i for i, _ in rows if i % 2 == 0} <= kept
+    for least, share in ((0.8, 0.9), (0.9, 0.98)):
+        found = [i not in kept for x, i in alike if x >= least]
+        assert len(found) > 50 and sum(found) >= share * len(found)
+
+
+@pytest.mark.parametrize("words, most", [(1, 4), (2, 23)])
+def test_trie_join_with_hot_blocks(spark, monkeypatch, tmp_path, words, most):
+    """A dense group, and nodes next to it that are cold but have all of it as visitors: no task gets more than two blocks."""
     monkeypatch.setattr(simhash, "NODE_SIZE", 16)
     monkeypatch.setattr(simhash, "BLOCK_SIZE", 40)
     rng = np.random.default_rng(8)
-    keys = rng.integers(0, 2**63, 150, dtype=np.uint64)
-    dense = np.full(150, keys[0])
+    keys = rng.integers(0, 2**63, (150, words), dtype=np.uint64)
+    dense = np.tile(keys[0], (200, 1))
     for _ in range(3):
-        dense ^= np.uint64(1) << rng.integers(0, 63, 150).astype(np.uint64)
-    prints = sorted({int(x) for x in np.concatenate([keys, dense])})
-    df = spark.createDataFrame([(x,) for x in prints], "fp long")
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
-    assert [found.get(x, x) for x in prints] == [prints[k] for k in brute_components(prints)]
+        dense[:, 0] ^= np.uint64(1) << rng.integers(0, 60, 200).astype(np.uint64)
+    dense[::7, words - 1] ^= np.uint64(1) << np.uint64(62)  # in a neighbouring node
+    prints = sorted({tuple(x) for x in np.concatenate([keys, dense]).tolist()})
+    names = simhash.word_names(words)
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(prints)], ", ".join(f"{n} long" for n in ["key_id", *names]))
+    log, whole = f"{tmp_path}/sizes", simhash.joined_node
+
+    def counted(keys, *rest):
+        with open(log, "a") as file:
+            file.write(f"{len(keys)}\n")
+        return whole(keys, *rest)
+
+    monkeypatch.setattr(simhash, "joined_node", counted)
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, most, words)).collect()}
+    with open(log) as file:
+        sizes = [int(x) for x in file.read().split()]
+    assert max(sizes) <= 3 * 40 < len(prints)  # blocks are dealt out by a hash, so they are about 40 keys each
+    whole_prints = [sum(x << 64 * k for k, x in enumerate(p)) for p in prints]
+    roots = brute_components(whole_prints, most)
+    groups = lambda names: sorted(map(sorted, {r: [k for k, x in enumerate(names) if x == r] for r in names}.values()))
+    assert groups([found.get(k, k) for k in range(len(prints))]) == groups(roots)
 
 
 def brute_quality(text):
