@@ -6,12 +6,12 @@ Intervals of prefixes are disjoint or nested. URLs and rules are sorted together
 of rules that may be active: the last rule that began and those it is nested in. What is still a prefix of the URL's
 key is active; the longest of these over the URL's keys wins.
 
-Scale: DataFrame operations only. URLs are reduced to distinct ones first, and keys whose host has no rule go before
-the sort. The sweep is dealt out by host suffix; a suffix with more than its share of the keys is split over several
+Scale: DataFrame operations only. URLs are reduced to distinct ones first; a URL has as many keys as the longest rule
+has labels at most, and keys whose host has no rule go before the sort. The sweep is dealt out by host suffix; a suffix with more than its share of the keys is split over several
 parts, each of which gets that suffix's rules. The rules' table may be of any size; nothing is broadcast by a hint.
 
-Null URLs and those without ``://`` have empty hosts and paths, fit no rule and get the default verdict. Repeated rows
-are judged alike. Rules that are null or have no host are ignored. Between rules of one length the smaller string wins.
+Very long URLs, paths and hosts of very many labels are judged like others. Null URLs and those without ``://`` have
+empty hosts and paths, fit no rule and get the default verdict. Repeated rows are judged alike. Rules that are null or have no host are ignored. Between rules of one length the smaller string wins.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .spark_util import spread_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Shares that a host suffix's keys are dealt out in while its parts are looked up.
-SALTS = 64
 #: The production rules.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -63,17 +63,19 @@ def _rule_stacks(rules: DataFrame) -> DataFrame:
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, rule and verdict of the winning rule, for the distinct ``url`` that some rule fits."""
-    labels = F.split(F.col("host"), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: reversed_host(F.slice(labels, n, F.size(labels))))
-    keys = urls.select("url").filter(F.instr("url", "://") > 0).distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("url", "path", F.explode(suffixes).alias("host_key"))
     stacks = _rule_stacks(rules)
+    # A suffix with more labels than any rule's host can't be one, so hosts of any length have few keys.
+    longest = stacks.agg(F.max(F.length("host_key") - F.length(F.replace("host_key", F.lit("."), F.lit("")))).cast("int").alias("longest"))
+    labels = F.split(F.col("host"), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.col("longest"))), lambda n: reversed_host(F.slice(labels, F.size(labels) + 1 - n, n)))
+    hosts = urls.select("url").filter(F.instr("url", "://") > 0).distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    keys = hosts.crossJoin(F.broadcast(longest)).select("url", "path", F.explode(suffixes).alias("host_key"))  # longest: one row
     # A suffix gets as many parts of the sweep as its share of the keys is worth.
     parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = keys.groupBy("host_key").count().join(stacks.select("host_key").distinct(), "host_key", "left_semi")
     total = counts.agg(F.sum("count").alias("total"))
     splits = counts.crossJoin(F.broadcast(total)).select("host_key", F.ceil(F.col("count") * 2 * parts / F.col("total")).cast("int").alias("splits"))  # total: one row
-    salted = splits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = keys.withColumn("salt", F.pmod(F.xxhash64("url", "host_key"), F.lit(SALTS)).cast("int")).join(salted, ["host_key", "salt"]).withColumn("part", F.pmod(F.xxhash64("url"), F.col("splits")).cast("int"))
+    spread = spread_join(keys, splits, "host_key").withColumn("part", F.pmod(F.xxhash64("url"), F.col("splits")).cast("int"))
     replicas = stacks.join(splits, "host_key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     events = spread.select("host_key", "part", "path", "url", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack")).unionByName(
         replicas.select("host_key", "part", "path", F.lit(None).cast("string").alias("url"), "stack")

@@ -61,13 +61,24 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_digest and refers_to (null for responses)."""
+    """page_id, url, payload, payload_digest and refers_to (null for responses).
+
+    Payloads that very many pages have are fewer than twice the partitions, so they are looked up by broadcast. Pages
+    that need no look-up are dealt out by themselves, so neither small payloads nor common ones meet in one task.
+    """
+    spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select("page_id", "url", html.alias("payload"), F.sha1(html).alias("payload_digest"))
     large = pages.select("page_id", F.sha1(html).alias("same"), F.octet_length(html).alias("bytes")).filter(F.col("bytes") >= LEAST_REVISIT)
-    copies = stored(large.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
-    joined = own.join(copies, F.col("payload_digest") == F.col("same"), "left")
-    return joined.select("page_id", "url", "payload", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).cast("bigint").alias("refers_to"))
+    copies = stored(large.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "copies")
+    common = F.col("n") > pages.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    hot = copies.filter(common).select(F.col("same").alias("hot_same"), F.col("first").alias("hot_first"))
+    rest = copies.filter(~common).select("same", "first")
+    looked = own.join(F.broadcast(hot), F.col("payload_digest") == F.col("hot_same"), "left")
+    searched = F.col("hot_same").isNull() & (F.octet_length("payload") >= LEAST_REVISIT)
+    key = F.when(searched, F.col("payload_digest")).otherwise(F.concat(F.lit("page "), F.xxhash64("page_id", "url").cast("string")))
+    joined = looked.withColumn("key", key).join(rest, F.col("key") == F.col("same"), "left").withColumn("found", F.coalesce("first", "hot_first"))
+    return joined.select("page_id", "url", "payload", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("found")), F.col("found")).cast("bigint").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:

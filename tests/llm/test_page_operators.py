@@ -38,6 +38,7 @@ def test_urls_against_brute_force(spark, parts):
     ends = ["", "/", "/es/", "/es/1", "/es", "/en/1", "/en/12?q=/de/", "/en/", "/fr/#x", "/de/a/b", "?a/fr/", "#", "/ES/", "/fr/é\n1"]
     urls = [f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}{rng.choice(ends)}" for _ in range(300)] + [None, "", "example.org/es/", "a://b://c.org/es/"]
     urls += ["http://hot.example.org/es/1"] * 200
+    urls += [f"http://{'a.' * 30_000}example.org/es/", f"http://{'.' * 30_000}com/fr/", f"http://x.com/fr/{'y/' * 50_000}"]
     rules = [*url_filter.RULES, ("example.org/", "allow"), ("example.org/es/1", "allow"), ("a.example.org/en/", "block")]
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
