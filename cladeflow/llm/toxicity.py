@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .spark_util import WORD_TABLE, set_aside, small_batches
+from .spark_util import WORD_TABLE, set_aside, small_batches, stored
 
 #: Training documents of each label, and the longest text that is trained on.
-SAMPLE, LONGEST = 1200, 20_000
+SAMPLE, LONGEST = 2000, 30_000
 BUCKETS = 1 << 18
 #: Words to each side of a labelled token in a training window.
 REACH = 8
@@ -43,15 +42,18 @@ LEAST_GAIN, LEAST_RATIO = 4, 6.0
 #: Cues that the cover doesn't need count too, from this many contexts and times on: too often for chance.
 SURE_CONTEXTS, SURE_RATIO = 25, 50.0
 THRESHOLD = 0.3
-#: Entries of a task's cache of word weights.
-CACHE_WORDS = 150_000
+#: Training texts that are scored together.
+SCORED = 200
+#: As between words, but line breaks stay.
+LINE_TABLE = bytes(10 if c == 10 else x for c, x in enumerate(WORD_TABLE))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Marginals below this don't count towards a document, however many there are.
 LEAST_MARGINAL = 0.05
 
 
 def lines(text: bytes | None) -> list[list[bytes]]:
-    return [x.translate(WORD_TABLE).split() for x in text.split(b"\n")] if text else []
+    """The lower-case words of each line."""
+    return [x.split() for x in text.decode().lower().encode().translate(LINE_TABLE).split(b"\n")] if text else []
 
 
 def cues(word: bytes) -> list[str]:
@@ -60,13 +62,41 @@ def cues(word: bytes) -> list[str]:
     return [w, *(f"{w[:n]}*" for n in range(4, min(8, len(w) + 1)))]
 
 
-def feature_ids(word: bytes) -> list[int]:
-    w = word.decode(errors="replace").lower()
-    names = [f"w {w}", *(f"p {w[:n]}" for n in range(3, min(8, len(w) + 1))), *(f"s {w[-n:]}" for n in range(2, min(5, len(w) + 1)))]
-    return [1 + zlib.crc32(x.encode()) % (BUCKETS - 1) for x in names]
-
-
-FEATURES = 9
+#: A word's features: itself, its beginnings of 3 to 7 bytes, and its endings of 2 to 4.
+BEGINNINGS, ENDINGS = range(3, 8), range(2, 5)
+FEATURES = 1 + len(BEGINNINGS) + len(ENDINGS)
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def feature_ids(words: pa.Array) -> np.ndarray:
+    """[word, feature]: the hashed features of distinct words, all words at once; 0 where a word is too short for one."""
+    letters = np.frombuffer(words.buffers()[2] or b"", np.uint8) if len(words) else np.zeros(0, np.uint8)
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    begin, end = bounds[:-1], bounds[1:]
+    out = np.zeros((len(words), FEATURES), np.int64)
+
+    def put(column: int, hashes: np.ndarray, long: np.ndarray) -> None:
+        x = (hashes + np.uint64(column + 1)) * MIX
+        x = (x ^ (x >> np.uint64(32))) * MIX
+        out[long, column] = 1 + ((x ^ (x >> np.uint64(29))) % np.uint64(BUCKETS - 1)).astype(np.int64)[long]
+
+    def rolled(sizes: range, first: int, at) -> None:
+        """Hashes of a growing number of bytes, the next one at ``at(k)``."""
+        hashes = np.zeros(len(words), np.uint64)
+        for k in range(sizes.stop - 1):
+            long = end - begin > k
+            hashes = hashes * FACTOR + np.where(long, letters[np.where(long, at(k), begin)] if len(letters) else 0, 0).astype(np.uint64) + np.uint64(1)
+            if k + 1 in sizes:
+                put(first + k + 1 - sizes.start, hashes, long)
+
+    if len(words):
+        powers = np.cumprod(np.full(int((end - begin).max()), FACTOR))
+        place = np.arange(bounds[0], bounds[-1]) - np.repeat(begin, end - begin)
+        whole = np.add.reduceat(letters[bounds[0] : bounds[-1]].astype(np.uint64) * powers[place], begin - bounds[0])
+        put(0, whole, np.full(len(words), True))
+        rolled(BEGINNINGS, 1, lambda k: begin + k)
+        rolled(ENDINGS, 1 + len(BEGINNINGS), lambda k: end - 1 - k)
+    return out
 
 
 def token_cues(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[str]:
@@ -200,21 +230,19 @@ def train(texts: list[bytes], toxic: list[int], weights: tuple[float, float] = (
     if not y.any() or y.all():
         return None
     chosen = token_cues([d for d, t in zip(docs, toxic, strict=True) if t], [d for d, t in zip(docs, toxic, strict=True) if not t])
-    rng, rows, cache, tagged = np.random.default_rng(7), [], {}, {}
+    rng, windows, tagged = np.random.default_rng(7), [], {}
     for doc, t in zip(docs, toxic, strict=True):
         for w in doc if t else ():
             if w not in tagged:
                 tagged[w] = not chosen.isdisjoint(cues(w))
         tags = np.array([tagged[w] for w in doc] if t else [0] * len(doc), np.int64)
         for a, b in _windows(doc, tags, rng) if doc else ():
-            features = np.zeros((b - a, FEATURES), np.int64)
-            for k, w in enumerate(doc[a:b]):
-                ids = cache.get(w) or cache.setdefault(w, feature_ids(w))
-                features[k, : len(ids)] = ids
-            rows.append((features, tags[a:b]))
-    chain = fit_chain(rows)
+            windows.append((doc[a:b], tags[a:b]))
+    coded = pa.array([w for x, _ in windows for w in x], pa.large_binary()).dictionary_encode()
+    features, ends = feature_ids(coded.dictionary)[coded.indices.to_numpy()], np.cumsum([len(x) for x, _ in windows])
+    chain = fit_chain([(features[end - len(x) : end], y) for end, (x, y) in zip(ends.tolist(), windows, strict=True)])
     scorer = Scorer(chain)
-    raw = np.clip([raw_score(scorer.batch([x])[0][0]) for x in texts], 1e-6, 1 - 1e-6)
+    raw = np.clip([raw_score(p) for i in range(0, len(texts), SCORED) for p, _ in scorer.batch(texts[i : i + SCORED])], 1e-6, 1 - 1e-6)
     chain.slope, chain.shift = logistic(np.log(raw / (1 - raw)), y, np.where(y == 1, weights[1], weights[0]))
     return chain
 
@@ -235,23 +263,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 class Scorer:
-    """Marginals of the texts of a batch, with a cache of word weights."""
+    """Marginals of the texts of a batch; each distinct word is weighed once."""
 
     def __init__(self, chain: Chain) -> None:
-        self.chain, self.cache = chain, {}
+        self.chain = chain
 
     def batch(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, int]]:
         """For each text the marginals of its words."""
-        cache, weights = self.cache, self.chain.weights
         rows = [lines(x) for x in texts]
-        found = [w for doc in rows for line in doc for w in line]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in set(found).difference(cache):
-            cache[w] = float(weights[feature_ids(w)].sum())
-        scores = np.fromiter((cache[w] for w in found), np.float64, len(found))
-        lengths = np.array([len(line) for doc in rows for line in doc if line], np.int64)
-        p = self.chain.marginals(scores, lengths)
+        coded = pa.array([w for doc in rows for line in doc for w in line], pa.large_binary()).dictionary_encode()
+        scores = self.chain.weights[feature_ids(coded.dictionary)].sum(axis=1, dtype=np.float64)[coded.indices.to_numpy()]
+        p = self.chain.marginals(scores, np.array([len(line) for doc in rows for line in doc if line], np.int64))
         ends = np.cumsum([sum(map(len, doc)) for doc in rows])
         return [(p[a:b], b - a) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
@@ -262,18 +284,23 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
-    """The chain for a bounded sample of the labelled documents that aren't held out; chosen by a hash of the id."""
+    """The chain for a bounded sample of the labelled documents that aren't held out; chosen by a hash of the id.
+
+    Only labelled documents of up to ``LONGEST`` characters can be drawn, so labels without such a one take no place. Of
+    several texts with one id the smallest is taken.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= LONGEST)
+    known = stored(known.join(own.select("doc_id").distinct(), "doc_id"), "labelled")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # a row for each label
     if not counts.get(0) or not counts.get(1):
         return None
     picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample rows at most
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).filter(F.length("text") <= LONGEST).join(chosen, "doc_id").select("doc_id", "text", "toxic").limit(4 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    drawn = [max(1, sum(r["toxic"] == t for r in rows)) for t in (0, 1)]
+    rows = own.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    drawn = [sum(r["toxic"] == t for r in rows) for t in (0, 1)]
     return train([r["text"].encode() for r in rows], [r["toxic"] for r in rows], (counts[0] / drawn[0], counts[1] / drawn[1]))
 
 

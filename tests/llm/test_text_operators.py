@@ -345,8 +345,8 @@ def test_toxicity_on_held_out_rows(spark):
             w.insert(rng.randrange(len(w)), rng.choice(["scumbag", "vrogla" + rng.choice(["ta", "no", "re", "mi"])]))
         rows.append((k, " ".join(w)))
         labels.append((k, int(toxic)))
-    docs = frame(spark, [*rows, (9001, None), (9002, ""), (None, "scumbag here"), (9003, "fine, you scumbag!")])
-    known = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    docs = frame(spark, [*rows, (9001, None), (9002, ""), (None, "scumbag here"), (9003, "fine, you scumbag!"), (9004, "a mountain " * 100_000 + "scumbag"), (9005, rows[7][1]), (9006, rows[7][1])])
+    known = spark.createDataFrame([(*x, "x", "y", "z") for x in [*labels, (None, 1), (3, None), (77_777, 1)]], "doc_id long, toxic int, text string, score string, spans string")
     out = {r["doc_id"]: r for r in toxicity.toxicity(docs, known).collect()}
     held = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert all(out[k]["held_out"] == (k in held) for k in range(1200)) and out[None]["held_out"] is False
@@ -354,4 +354,6 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(right) >= 0.98 * len(right)
     assert out[9001]["score"] == out[9002]["score"] < 0.3 <= out[None]["score"]
     assert [(s["start"], s["end"]) for s in out[9003]["spans"]] == [(10, 17)]
+    assert [(s["start"], s["end"]) for s in out[9004]["spans"]] == [(1_100_000, 1_100_007)] and out[9004]["predicted"] == 1
+    assert out[9005]["score"] == out[9006]["score"] == out[7]["score"]
     assert sorted(toxicity.accepted(docs, known).columns) == sorted(docs.columns)
