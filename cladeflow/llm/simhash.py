@@ -42,7 +42,9 @@ NODE_SIZE, BLOCK_SIZE = 32_768, 65_536
 #: Rows of split nodes that are broadcast: there is one for ``BLOCK_SIZE`` arrivals at most.
 MOST_SPLIT = 1_000_000
 #: Shingles that are hashed at once, and fingerprint pairs that are compared at once.
-PIECE, COMPARED = 200_000, 2_000_000
+PIECE, COMPARED = 200_000, 200_000
+#: Node pairs that are traversed at once.
+NODE_PAIRS = 40_000
 #: Node pairs of this many fingerprint pairs or fewer are compared directly.
 LEAF = 64
 #: For each byte, its bits in the bytes of a 64-bit number: 255 of them can be added without a carry.
@@ -137,9 +139,9 @@ class TrieJoin:
         stack = [(depth, a0, a1, b0, b1, errors)]
         while stack:
             depth, a0, a1, b0, b1, errors = stack.pop()
-            if len(a0) > 100_000:
-                for i in range(0, len(a0), 50_000):
-                    stack.append((depth, *(x[i : i + 50_000] for x in (a0, a1, b0, b1, errors))))
+            if len(a0) > NODE_PAIRS:
+                for i in range(0, len(a0), NODE_PAIRS // 2):
+                    stack.append((depth, *(x[i : i + NODE_PAIRS // 2] for x in (a0, a1, b0, b1, errors))))
                 continue
             changes = np.concatenate(([0], np.cumsum(self.root[1:] != self.root[:-1])))
             one = (changes[a1 - 1] == changes[a0]) & (changes[b1 - 1] == changes[b0]) & (self.root[a0] == self.root[b0])

@@ -25,9 +25,9 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_TABLE).split() if text else []
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep what a Python task holds at once small, however long the texts are."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
@@ -82,6 +82,7 @@ def map_rows(df: DataFrame, carry: list[str], inputs: list[str], schema: str, fa
             columns = [(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in map(batch.column, places)]
             rows = list(zip(*map(kernel, *columns), strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(x, t) for x, t in zip(rows, types, strict=True))], names=names)
+        pa.default_memory_pool().release_unused()  # the process goes on to other tasks
 
     return df.select(*(F.col(f"`{c}`") for c in carry), *(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(more))).mapInArrow(run, out)
 

@@ -35,8 +35,8 @@ INDEX_STRIDE, STRIPE_BYTES = 1000, 16 << 20
 OFTEN_WORDS, ONCE_WORDS = 150_000, 150_000
 #: Characters of a text that are encoded at once, which bounds the memory for very long texts.
 PIECE_CHARS = 1_000_000
-#: Words that are looked up together.
-FLUSH_WORDS = 200_000
+#: Words that are looked up together, and texts of a batch: the more, the fewer times a word is looked up.
+FLUSH_WORDS, TEXTS = 200_000, 1000
 #: What marks a text that isn't split here, and the place of the end id.
 WHOLE, END = b" ", b" end"
 
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     Columns: doc_id, part (the file's place in the order), part_start (ids of the part's earlier documents), n_tokens
     and ids.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, TEXTS)
     model = tokenizer or default_tokenizer()
     two = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("part int, part_start bigint, n_tokens bigint, ids array<int>").fields])
@@ -178,6 +178,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             starts = start + offsets[:-1].astype(np.int64)
             start += int(offsets[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     options = {"orc.bloom.filter.columns": "doc_id", "orc.row.index.stride": INDEX_STRIDE, "orc.stripe.size": STRIPE_BYTES, "compression": "zstd"}
     two.mapInArrow(encode, schema).write.options(**{k: str(v) for k, v in options.items()}).orc(path)

@@ -329,13 +329,15 @@ def scored(docs: DataFrame, chain: Chain | None, carry: list[str] | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value) if model.value else None
         for batch in batches:
-            texts = batch.column(len(kept)).cast(pa.binary()).to_pylist()
+            texts = batch.column(kept.index("text") if "text" in kept else len(kept)).cast(pa.binary()).to_pylist()
             found = [p for p, _ in scorer.batch(texts)] if scorer else [np.zeros(0)] * len(texts)
             scores = model.value.calibrated(np.array([raw_score(p) for p in found])) if scorer else np.zeros(len(texts))
             spans = [offsets(x, p >= 0.5) if len(p) and p.max() >= 0.5 else [] for x, p in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, span_type)], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias("scored_text")).mapInArrow(run, schema)
+    own = [] if "text" in kept else [F.col("text").cast("string").alias("scored_text")]  # what is carried anyway isn't sent twice
+    return docs.select(*(F.col(f"`{c}`") for c in kept), *own).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
