@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import ALL, ALLOWED, MISSING, STATES, mask_of
+from ..functions.alphabet import ALLOWED, MISSING, STATES, mask_of
 from ..functions.model import floored
+from ..plans.shared import written
 
 
 def wide_to_cells(msa: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,12 +54,25 @@ def columns(cells: DataFrame, keys: list[str], row: str = "row_ix", value: str =
     return cells.groupBy(*keys, "site").agg((F.array_join(ordered, "") if value == "sym" else ordered).alias("pattern"))
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in an order, without bringing them together: places in ranges, and a sum of the ranges before."""
+    placed = written(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "numbered")  # written once, as ranges are sampled
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return placed.join(F.broadcast(starts), "part").withColumn(name, (F.col("start") + within - 1).cast("int")).drop("part", "start")
+
+
 def site_patterns(cells: DataFrame, keys: list[str] | None = None, value: str = "sym") -> DataFrame:
     """Equal columns as one pattern: ``keys``, pattern_id (by first site), first_site, weight, pattern."""
     own = keys or []
     grouped = columns(cells, own, value=value).groupBy(*own, "pattern").agg(F.min("site").alias("first_site"), F.count("*").alias("weight"))
-    order = Window.partitionBy(*own).orderBy("first_site")  # of distinct patterns
-    return grouped.select(*own, (F.row_number().over(order) - 1).alias("pattern_id"), "first_site", "weight", "pattern")
+    if own:
+        order = Window.partitionBy(*own).orderBy("first_site")  # of distinct patterns
+        found = grouped.withColumn("pattern_id", F.row_number().over(order) - 1)
+    else:
+        found = numbered(grouped, "first_site", "pattern_id")
+    return found.select(*own, "pattern_id", "first_site", "weight", "pattern")
 
 
 def site_map(cells: DataFrame, patterns: DataFrame, value: str = "sym") -> DataFrame:
@@ -84,17 +98,14 @@ def empirical_frequencies(cells: DataFrame) -> list[float]:
     return floored(counts / counts.sum()).tolist() if counts.sum() else [0.25] * 4
 
 
-def invariant_sites(cells: DataFrame) -> DataFrame:
-    """Sites where one state fits all taxa: site and state (0 to 3)."""
-    common = encoded(cells).groupBy("site").agg(F.bit_and("mask").alias("common"))
-    return common.filter(F.bit_count("common") == 1).select("site", F.log2("common").cast("int").alias("state"))
+def invariant_sites(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Sites where one state fits all taxa (of each of ``keys``): ``keys``, site and state (0 to 3)."""
+    own = keys or []
+    common = encoded(cells).groupBy(*own, "site").agg(F.bit_and("mask").alias("common"))
+    return common.filter(F.bit_count("common") == 1).select(*own, "site", F.log2("common").cast("int").alias("state"))
 
 
 def informative_patterns(patterns: DataFrame) -> DataFrame:
     """Patterns (arrays of masks) that at least two states have in two or more rows each."""
     counts = [F.size(F.filter("pattern", lambda m, b=b: m == F.lit(1 << b))) for b in range(4)]
     return patterns.filter(sum((c >= 2).cast("int") for c in counts) >= 2)
-
-
-def has_data(mask: str = "mask"):
-    return F.col(mask) != ALL

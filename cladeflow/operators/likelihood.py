@@ -198,7 +198,9 @@ def with_invariant(rows: DataFrame, model: Model) -> DataFrame:
     """Adds ln_lk_inv: a share ``pinv`` of the sites doesn't change. rows: ln_lk and pattern (masks)."""
     common = F.aggregate("pattern", F.lit(ALL), lambda a, m: a.bitwiseAND(m))
     pi = sum(F.when(common.bitwiseAND(F.lit(1 << b)) > 0, F.lit(model.freqs[b])).otherwise(0.0) for b in range(4))
-    return rows.withColumn("ln_lk_inv", F.log((1 - model.pinv) * F.exp("ln_lk") + model.pinv * pi))
+    variable, fixed = F.log(F.lit(1 - model.pinv)) + F.col("ln_lk"), F.when(pi * model.pinv > 0, F.log(pi * model.pinv))
+    most = F.greatest(variable, fixed)  # nulls don't count; the sum is taken relative to it, so that small likelihoods stay
+    return rows.withColumn("ln_lk_inv", most + F.log(F.exp(variable - most) + F.coalesce(F.exp(fixed - most), F.lit(0.0))))
 
 
 def lewis_correction(loglik: float, weight: float, constant_likelihoods: list[float]) -> float:

@@ -131,6 +131,69 @@ scores AS (
 """
 
 
+#: The derived tree in pre-order: the root's pairs of regions are nodes 1 to 3, and each region has a block of nine nodes:
+#: itself, its pairs of nations, and its nations. ``nation_at`` and ``region_at`` number the nations and the regions in the tree's order.
+TREE = """
+ranks AS (
+  SELECT n_nationkey AS row_ix, n_regionkey AS region, dense_rank() OVER (ORDER BY n_regionkey) AS region_at, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nation_at FROM nation
+),
+tree_nodes AS (
+  SELECT 0 AS node, NULL::INTEGER AS parent, 0.0::DOUBLE AS len, false AS is_tip
+  UNION ALL SELECT k, k - 1, 0.0, false FROM range(1, 4) AS t(k)
+  UNION ALL SELECT 4 + 9 * (region_at - 1), CASE WHEN region_at = 1 THEN 3 ELSE 5 - region_at END, (1 + (region * 7) % 13) / 100.0::DOUBLE, false FROM (SELECT DISTINCT region, region_at FROM ranks)
+  UNION ALL SELECT 4 + 9 * (region_at - 1) + k, 3 + 9 * (region_at - 1) + k, 0.0, false FROM (SELECT DISTINCT region_at FROM ranks), range(1, 4) AS t(k)
+  UNION ALL SELECT 7 + 9 * (region_at - 1) + nation_at, 4 + 9 * (region_at - 1) + least(5 - nation_at, 3), (1 + (row_ix * 7) % 13) / 100.0::DOUBLE, true FROM ranks
+),
+below AS (
+  WITH RECURSIVE up(tip, node) AS (SELECT node, node FROM tree_nodes WHERE is_tip UNION ALL SELECT u.tip, n.parent FROM up u JOIN tree_nodes n USING (node) WHERE n.parent IS NOT NULL)
+  SELECT u.node, r.row_ix FROM up u JOIN ranks r ON u.tip = 7 + 9 * (r.region_at - 1) + r.nation_at
+)
+"""
+
+#: Of every edge, named by the node below it: the vector of what is below, and that of the rest as it arrives at its upper end.
+EDGE_VECTORS = """
+region_base AS (SELECT a.pattern_id, a.region, a.cat, a.state, r.value / a.value AS value FROM region_sent a JOIN root r USING (pattern_id, cat, state)),
+region_down AS (
+  SELECT b.pattern_id, b.region, b.cat, t.i AS state, sum(t.p * b.value) AS value
+  FROM region_base b JOIN trans t ON t.node = 'r' || b.region AND t.cat = b.cat AND t.j = b.state GROUP BY ALL
+),
+edge_vec AS (
+  SELECT s.pattern_id, (7 + 9 * (region_at - 1) + nation_at)::INTEGER AS edge, cat, state, (p.mask >> state & 1)::DOUBLE AS low, d.value * u.value / s.value AS high
+  FROM tip_sent s JOIN ranks USING (row_ix, region) JOIN pm p USING (pattern_id, row_ix, region) JOIN region_up u USING (pattern_id, region, cat, state) JOIN region_down d USING (pattern_id, region, cat, state)
+  UNION ALL
+  SELECT pattern_id, (4 + 9 * (region_at - 1) + k)::INTEGER, cat, state, product(CASE WHEN nation_at <= 5 - k THEN s.value ELSE 1 END), any_value(d.value) * product(CASE WHEN nation_at <= 5 - k THEN 1 ELSE s.value END)
+  FROM tip_sent s JOIN ranks USING (row_ix, region) JOIN region_down d USING (pattern_id, region, cat, state), range(1, 4) AS t(k) GROUP BY pattern_id, region_at, k, cat, state
+  UNION ALL
+  SELECT pattern_id, (4 + 9 * (region_at - 1))::INTEGER, cat, state, u.value, b.value FROM region_up u JOIN region_base b USING (pattern_id, region, cat, state) JOIN (SELECT DISTINCT region, region_at FROM ranks) USING (region)
+  UNION ALL
+  SELECT pattern_id, k::INTEGER, cat, state, product(CASE WHEN region_at <= 5 - k THEN s.value ELSE 1 END), product(CASE WHEN region_at <= 5 - k THEN 1 ELSE s.value END)
+  FROM region_sent s JOIN (SELECT DISTINCT region, region_at FROM ranks) USING (region), range(1, 4) AS t(k) GROUP BY pattern_id, k, cat, state
+)
+"""
+
+ALL_SCORES = f"""
+moved AS (
+  SELECT edge, cat, i, j, sum(vv * (exp(lam * rate * len) - 1)) + CASE WHEN i = j THEN 1 ELSE 0 END AS p
+  FROM (SELECT node AS edge, len / 2 AS len FROM tree_nodes WHERE node > 0 UNION ALL SELECT -1, {PENDANT!r}), cats, basis GROUP BY edge, cat, i, j
+),
+halves AS (
+  SELECT v.pattern_id, v.edge, v.cat, m.i AS state, sum(m.p * v.low) AS low, sum(m.p * v.high) AS high
+  FROM edge_vec v JOIN moved m ON m.edge = v.edge AND m.cat = v.cat AND m.j = v.state GROUP BY ALL
+),
+edge_state AS (
+  SELECT h.pattern_id, h.edge, q.j AS tip_state, sum(cat_weight * pi * h.low * h.high * q.p) AS lk
+  FROM halves h JOIN cats USING (cat) JOIN states USING (state) JOIN moved q ON q.edge = -1 AND q.cat = h.cat AND q.i = h.state GROUP BY ALL
+),
+edge_mask AS (SELECT pattern_id, edge, mask, ln(sum(lk)) AS ln_lk FROM edge_state JOIN (SELECT unnest(range(1, 16)) AS mask) ON mask >> tip_state & 1 = 1 GROUP BY ALL),
+scores AS (SELECT c.query, e.edge, round(sum(c.weight * e.ln_lk), 6) AS loglik FROM counts c JOIN edge_mask e USING (pattern_id, mask) GROUP BY ALL)
+"""
+
+#: The five best of ``scores``, with weight ratios and gaps.
+RANKED = """
+order_of AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY loglik DESC, edge) AS rank FROM scores),
+kept AS (SELECT *, max(loglik) OVER w AS best, max(CASE WHEN rank = 2 THEN loglik END) OVER w AS second, max(CASE WHEN rank = 5 THEN loglik END) OVER w AS fifth FROM order_of WHERE rank <= 5 WINDOW w AS (PARTITION BY query))
+"""
+
 PLACES = f"""
 places AS (SELECT n_nationkey, dense_rank() OVER (ORDER BY n_regionkey) AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation),
 wide AS (
@@ -183,6 +246,10 @@ def sql() -> dict[str, str]:
     base, lk = f"WITH {CELLS}, {_patterns('mask')}", f"WITH {CELLS}, {_patterns('mask')}, {_model()}, {_vectors()}"
     total = "SELECT round(sum(weight * ln(lk)), 6) AS loglik, sum(weight)::BIGINT AS n_sites FROM lk JOIN pats USING (pattern_id)"
     scored = f"WITH {CELLS}, {QUERY_CELLS}, {_patterns('mask')}, {COUNTS}, {_model()}, {_vectors()}, {TIP_SCORES}"
+    every = f"WITH {CELLS}, {QUERY_CELLS}, {_patterns('mask')}, {COUNTS}, {_model()}, {_vectors()}, {TREE}, {EDGE_VECTORS}, {ALL_SCORES}"
+    ranking = "rank::INTEGER AS rank, round(exp(loglik - best) / sum(exp(loglik - best)) OVER (PARTITION BY query), 6) AS lwr, round(best - second, 5) AS gap_top2, round(best - fifth, 5) AS gap_top5 FROM kept"
+    mismatches = """WITH tree AS (SELECT DISTINCT n_name AS name FROM nation), msa AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+        SELECT coalesce(tree.name, msa.name) AS name, CASE WHEN tree.name IS NULL THEN 'tree' ELSE 'alignment' END AS missing_in FROM tree FULL JOIN msa ON tree.name = msa.name WHERE tree.name IS NULL OR msa.name IS NULL"""
     msa = lambda name: f"WITH {CELLS} SELECT {name} AS name, string_agg(sym, '' ORDER BY site) AS seq FROM cells GROUP BY taxon"
     counts = f"WITH {CELLS}, {QUERY_CELLS}, {_patterns('mask')}, {COUNTS} SELECT query, pattern_id, mask, weight FROM counts"
     return {
@@ -193,7 +260,8 @@ def sql() -> dict[str, str]:
         "site_patterns": f"WITH {CELLS}, {_patterns('sym')} SELECT pattern_id, first_site, weight, pattern FROM pats",
         "site_pattern_map": f"WITH {CELLS}, {_patterns('sym')} SELECT site, pattern_id FROM cols JOIN pats USING (pattern)",
         "base_frequencies": f"WITH {CELLS}, share(sym, state, share) AS (VALUES {_values(shares)}), n AS (SELECT state, sum(share) AS n FROM cells JOIN share USING (sym) GROUP BY state) SELECT state, round(n / sum(n) OVER (), 9) AS freq FROM n",
-        "invariant_sites": f"WITH {CELLS}, common AS (SELECT site, bit_and(mask) AS common FROM masks WHERE row_ix < 4 GROUP BY site) SELECT site, log2(common)::INTEGER AS state FROM common WHERE bit_count(common) = 1",
+        "invariant_sites": f"WITH {CELLS}, common AS (SELECT region, site, bit_and(mask) AS common FROM masks GROUP BY region, site) SELECT region, site, log2(common)::INTEGER AS state FROM common WHERE bit_count(common) = 1",
+        "invariant_sites_all": f"WITH {CELLS}, common AS (SELECT site, bit_and(mask) AS common FROM masks GROUP BY site) SELECT site, log2(common)::INTEGER AS state FROM common WHERE bit_count(common) = 1",
         "transition_matrices": f"WITH {_model()} SELECT n_name AS name, cat, i, j, round(p, 9) AS p FROM trans JOIN nation ON node = 'n' || n_nationkey",
         "pattern_likelihoods": f"{lk} SELECT pattern_id, round(ln(lk), 6) AS ln_lk FROM lk",
         "edge_logliks": f"{lk}, total AS ({total}) SELECT unnest(range(1, 49))::INTEGER AS edge, loglik FROM total",
@@ -203,14 +271,26 @@ def sql() -> dict[str, str]:
         "query_counts": counts,
         "stream_query_counts": counts,
         "placement_tip_edges": f"{scored} SELECT query, tip, loglik FROM scores",
-        "placement_ranking": f"""{scored},
-            ranks AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY loglik DESC, tip) AS rank FROM scores),
-            kept AS (SELECT *, max(loglik) OVER w AS best, max(CASE WHEN rank = 2 THEN loglik END) OVER w AS second, max(CASE WHEN rank = 5 THEN loglik END) OVER w AS fifth FROM ranks WHERE rank <= 5 WINDOW w AS (PARTITION BY query))
-            SELECT query, tip, rank::INTEGER AS rank, round(exp(loglik - best) / sum(exp(loglik - best)) OVER (PARTITION BY query), 6) AS lwr, round(best - second, 5) AS gap_top2, round(best - fifth, 5) AS gap_top5 FROM kept""",
+        "placement_ranking": f"{every}, {RANKED} SELECT query, edge, {ranking}",
+        "placement_edge_ranking": f"{every}, {RANKED} SELECT query, edge, loglik, {ranking}",
+        "placement_baseline": f"{every} SELECT query, edge, loglik FROM scores",
+        "ancestral_states": f"""{lk}, {TREE}, {EDGE_VECTORS},
+            full_trans AS (SELECT node AS edge, cat, i, j, sum(vv * (exp(lam * rate * len) - 1)) + CASE WHEN i = j THEN 1 ELSE 0 END AS p FROM tree_nodes, cats, basis WHERE node > 0 AND NOT is_tip GROUP BY ALL),
+            outer_vec AS (SELECT v.pattern_id, v.edge, v.cat, t.i AS state, sum(t.p * v.high) AS high FROM edge_vec v JOIN full_trans t ON t.edge = v.edge AND t.cat = v.cat AND t.j = v.state GROUP BY ALL),
+            joint AS (
+              SELECT pattern_id, edge AS node_id, state, sum(cat_weight * pi * low * o.high) AS x FROM edge_vec JOIN outer_vec o USING (pattern_id, edge, cat, state) JOIN cats USING (cat) JOIN states USING (state) GROUP BY pattern_id, edge, state
+              UNION ALL SELECT pattern_id, 0, state, sum(cat_weight * pi * value) FROM root JOIN cats USING (cat) JOIN states USING (state) GROUP BY pattern_id, state)
+            SELECT pattern_id, node_id, state, round(x / sum(x) OVER (PARTITION BY pattern_id, node_id), 6) AS probability FROM joint""",
+        "site_repeats": f"""{base}, {TREE},
+            part AS (SELECT b.node, p.pattern_id, string_agg(m.mask::VARCHAR, ',' ORDER BY m.row_ix) AS seen FROM pats p JOIN masks m ON m.site = p.first_site JOIN below b USING (row_ix) JOIN tree_nodes n USING (node) WHERE NOT n.is_tip GROUP BY ALL)
+            SELECT node AS node_id, count(DISTINCT seen) AS n_classes FROM part GROUP BY node""",
+        "subtree_sizes": f"""WITH {TREE}, closure AS (
+              WITH RECURSIVE up(start, node) AS (SELECT node, node FROM tree_nodes UNION ALL SELECT u.start, n.parent FROM up u JOIN tree_nodes n USING (node) WHERE n.parent IS NOT NULL) SELECT * FROM up)
+            SELECT c.node AS node_id, count(*) FILTER (WHERE n.is_tip) AS n_tips, round(sum(CASE WHEN c.start <> c.node THEN n.len ELSE 0 END), 6) AS length FROM closure c JOIN tree_nodes n ON n.node = c.start GROUP BY c.node""",
         "tip_distances": """WITH tips AS (SELECT n_name AS name, n_regionkey AS region, (1 + (n_nationkey * 7) % 13) / 100.0::DOUBLE AS t, (1 + (n_regionkey * 7) % 13) / 100.0::DOUBLE AS r FROM nation)
             SELECT a.name AS tip_a, b.name AS tip_b, round(a.t + b.t + CASE WHEN a.region = b.region THEN 0 ELSE a.r + b.r END, 6) AS length FROM tips a JOIN tips b ON a.name < b.name""",
-        "name_mismatches": """WITH tree AS (SELECT DISTINCT n_name AS name FROM nation), msa AS (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000)
-            SELECT coalesce(tree.name, msa.name) AS name, CASE WHEN tree.name IS NULL THEN 'tree' ELSE 'alignment' END AS missing_in FROM tree FULL JOIN msa ON tree.name = msa.name WHERE tree.name IS NULL OR msa.name IS NULL""",
+        "name_mismatches": mismatches,
+        "name_mismatches_all": mismatches,
         "bad_symbols": "SELECT p_partkey, i AS site, substr(p_name, i::INTEGER, 1) AS sym FROM part, unnest(range(1, length(p_name) + 1)) AS t(i) WHERE instr('ACGTURYSWKMBDHVN-?.', upper(substr(p_name, i::INTEGER, 1))) = 0",
         "bad_names": "SELECT p_type AS name, count(*) AS n FROM part GROUP BY p_type HAVING count(*) > 1 OR trim(p_type) = '' OR p_type IS NULL",
         "unequal_lengths": "SELECT p_brand AS gene_id, p_type AS name, length(p_name) AS n FROM (SELECT *, max(length(p_name)) OVER (PARTITION BY p_brand) AS sites FROM part) WHERE length(p_name) <> sites OR sites = 0",

@@ -227,9 +227,9 @@ class Tree:
         return other, below, self.blen[node]
 
     def graft(self, node: int, edge: int, distal: float, pendant: float) -> None:
-        """Hang a pruned subtree on an edge."""
+        """Hang a pruned subtree on an edge; its length is held to the bounds of an inserted tip's, but 0 stays 0."""
         new = self.split(edge, distal)
-        self.blen[node] = pendant
+        self.blen[node] = min(max(pendant, LEAST_LENGTH), MOST_LENGTH) if pendant else 0.0
         self.hang(node, new)
 
     def without(self, names: set[str]) -> Tree:

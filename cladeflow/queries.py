@@ -78,12 +78,13 @@ def base_frequencies(spark, sf_dir):
 
 
 def invariant_sites(spark, sf_dir):
-    cells = derived.cells(spark, sf_dir).filter("row_ix < 4")  # all 25 taxa hardly ever agree; a clade of four does
-    return alignment.invariant_sites(cells)
+    """In each clade (region) the sites where one state fits all its taxa; all taxa are read."""
+    regions = derived.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_ix"), F.col("n_regionkey").alias("region"))
+    return alignment.invariant_sites(derived.cells(spark, sf_dir).join(F.broadcast(regions), "row_ix"), ["region"])  # 25 nations
 
 
 def invariant_sites_all(spark, sf_dir):
-    """Over all taxa; ``invariant_sites`` and its SQL look at the first four."""
+    """The sites where one state fits all taxa."""
     return alignment.invariant_sites(derived.cells(spark, sf_dir))
 
 
@@ -114,7 +115,8 @@ def root_states(spark, sf_dir):
 
 
 def ancestral_states(spark, sf_dir):
-    return likelihood.ancestral_states(derived.tree(spark, sf_dir), patterns(spark, sf_dir), MODEL, taxa(spark, sf_dir))
+    out = likelihood.ancestral_states(derived.tree(spark, sf_dir), patterns(spark, sf_dir), MODEL, taxa(spark, sf_dir))
+    return out.withColumn("probability", F.round("probability", 6))
 
 
 def fitch_parsimony(spark, sf_dir):
@@ -143,31 +145,27 @@ def query_counts(spark, sf_dir):
 
 
 def placement_baseline(spark, sf_dir):
+    """All queries on all edges."""
     found = stored_patterns(spark, sf_dir)
-    return placement.baseline_scores(derived.tree(spark, sf_dir), found, counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), MODEL, taxa(spark, sf_dir))
+    out = placement.baseline_scores(derived.tree(spark, sf_dir), found, counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), MODEL, taxa(spark, sf_dir))
+    return out.withColumn("loglik", F.round("loglik", 6))
 
 
-def _tip_scores(spark, sf_dir):
+def placement_tip_edges(spark, sf_dir):
+    """The scores at the tree's tips, by their names."""
     tree = derived.tree(spark, sf_dir)
     names = spark.createDataFrame([(n, tree.name[n]) for n in tree.tips()], "edge int, tip string")
-    return placement_baseline(spark, sf_dir).join(F.broadcast(names), "edge")
+    return placement_baseline(spark, sf_dir).join(F.broadcast(names), "edge").select("query", "tip", "loglik")
 
 
-def placement_tip_edges(spark, sf_dir):
-    return _tip_scores(spark, sf_dir).select("query", "tip", F.round("loglik", 6).alias("loglik"))
+def placement_edge_ranking(spark, sf_dir):
+    """The five best of all edges, inner ones too, with weight ratios and gaps."""
+    out = placement.ranked(placement_baseline(spark, sf_dir), 5)
+    return out.select("query", "edge", "rank", "loglik", F.round("lwr", 6).alias("lwr"), F.round("gap_top2", 5).alias("gap_top2"), F.round("gap_top5", 5).alias("gap_top5"))
 
 
 def placement_ranking(spark, sf_dir):
-    """The five best tip edges of each query, with weight ratios and gaps."""
-    scores = _tip_scores(spark, sf_dir).withColumn("loglik", F.round("loglik", 6)).drop("edge").withColumnRenamed("tip", "edge")
-    out = placement.ranked(scores, 5)
-    return out.select("query", F.col("edge").alias("tip"), "rank", F.round("lwr", 6).alias("lwr"), F.round("gap_top2", 5).alias("gap_top2"), F.round("gap_top5", 5).alias("gap_top5"))
-
-
-def placement_edge_ranking(spark, sf_dir):
-    """The five best of all edges, inner ones too, with weight ratios and gaps; ``placement_ranking`` and its SQL have tip edges only."""
-    out = placement.ranked(placement_baseline(spark, sf_dir).withColumn("loglik", F.round("loglik", 6)), 5)
-    return out.select("query", "edge", "rank", F.round("loglik", 6).alias("loglik"), F.round("lwr", 6).alias("lwr"), F.round("gap_top2", 5).alias("gap_top2"), F.round("gap_top5", 5).alias("gap_top5"))
+    return placement_edge_ranking(spark, sf_dir).drop("loglik")
 
 
 def placements(spark, sf_dir):
@@ -214,21 +212,19 @@ def tip_distances(spark, sf_dir):
 
 def subtree_sizes(spark, sf_dir):
     nodes = derived.tree(spark, sf_dir).nodes(spark)
-    return tree_relations.subtree_sizes(nodes, tree_relations.ancestors(nodes))
+    return tree_relations.subtree_sizes(nodes, tree_relations.ancestors(nodes)).withColumn("length", F.round("length", 6))
 
 
 def name_mismatches(spark, sf_dir):
-    """Tree tips against the nations that have suppliers of some size."""
+    """Tree tips against the nations of all suppliers."""
     tips = derived.tree(spark, sf_dir).nodes(spark).filter("is_tip").select("name")
-    rows = derived.table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").join(derived.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = derived.table(spark, sf_dir, "supplier").join(derived.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return alignment.name_mismatches(tips, rows.select(F.col("n_name").alias("name")))
 
 
 def name_mismatches_all(spark, sf_dir):
-    """Tree tips against the nations of all suppliers; ``name_mismatches`` and its SQL leave the smaller suppliers out."""
-    tips = derived.tree(spark, sf_dir).nodes(spark).filter("is_tip").select("name")
-    rows = derived.table(spark, sf_dir, "supplier").join(derived.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return alignment.name_mismatches(tips, rows.select(F.col("n_name").alias("name")))
+    """The former name of the whole job."""
+    return name_mismatches(spark, sf_dir)
 
 
 def _part_names(spark, sf_dir) -> DataFrame:

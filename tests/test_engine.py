@@ -78,6 +78,19 @@ def test_optimised_lengths_never_score_worse():
         assert best >= start and one.loglik(distal, pendant) == pytest.approx(best) and 0 <= distal <= b.tree.blen[edge]
 
 
+def test_all_edges_at_once_are_as_edge_by_edge():
+    rng = random.Random(9)
+    for blen in ("", ":0"):
+        rows = {n: "".join(rng.choice("ACGT-RN") for _ in range(60)) for n in [*"abcdefg", "q"]}
+        tree = f"((a:.2,(b:.01,c:.3):.1):.2,((d{blen or ':.4'},e:1.5):.05,(f:.2,g:.00005){blen or ':.3'}):.1);"
+        b = block(tree, rows, down=True)
+        mask, edges = np.array([MASKS[c] for c in rows["q"]]), b.tree.edges()
+        for weight in (np.ones(60), np.arange(60) % 3 + 0.0):
+            many = placement.Insertions(b, edges, np.arange(60), mask, weight).optimised(4)
+            one = [placement.Insertion(b, e, np.arange(60), mask, weight).optimised(4) for e in edges]
+            assert np.allclose(np.array(many).T, one, atol=1e-6)
+
+
 def test_newick():
     tree = Tree.parse("('a b':1,b:2e-1,(c[note]:1,'it''s'):3)r;")
     assert sorted(tree.name[n] for n in tree.tips()) == ["a b", "b", "c", "it's"]
@@ -146,7 +159,8 @@ def test_placement_pipeline(spark, sf_dir, tmp_path):
     tree = engine.derived.tree(spark, sf_dir)
     jplace.write_jplace(spark.createDataFrame(rows), tree, f"{tmp_path}/out")
     (part,) = tmp_path.glob("out/part-*")
-    document = jplace.read_jplace(part.read_text())
+    document = json.loads(part.read_text())
+    assert all(set(x) == {"p", "n"} for x in document["placements"]) and set(document) == {"version", "tree", "fields", "metadata", "placements"}
     assert document["fields"][0] == "edge_num" and len(document["placements"]) == len(by_query)
     assert max(p[0] for x in document["placements"] for p in x["p"]) < document["tree"].count("{")
 
@@ -235,6 +249,13 @@ def test_whole_forms_of_the_queries_with_narrow_sql(spark, sf_dir):
         columns.setdefault(r["site"], []).append(r["mask"])
     common = {site: int(np.bitwise_and.reduce(masks)) for site, masks in columns.items()}
     assert {r["site"]: r["state"] for r in engine.invariant_sites_all(spark, sf_dir).collect()} == {s: m.bit_length() - 1 for s, m in common.items() if m.bit_count() == 1}
+    clades = {(r["region"], r["site"]): r["state"] for r in engine.invariant_sites(spark, sf_dir).collect()}
+    regions = {r["n_name"]: r["n_regionkey"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()}
+    parts = {}
+    for r in engine.alignment_encode(spark, sf_dir).collect():
+        parts.setdefault((regions[r["taxon"]], r["site"]), []).append(r["mask"])
+    common = {key: int(np.bitwise_and.reduce(masks)) for key, masks in parts.items()}
+    assert clades == {key: m.bit_length() - 1 for key, m in common.items() if m.bit_count() == 1}
     nations = {r["n_nationkey"]: r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()}
     used = {nations[r["s_nationkey"]] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()}
     assert {(r["name"], r["missing_in"]) for r in engine.name_mismatches_all(spark, sf_dir).collect()} == {(n, "alignment") for n in nations.values() if n not in used}
@@ -339,6 +360,9 @@ def test_invariant_share_and_ascertainment(spark):
     model = Model(freqs=(0.4, 0.3, 0.2, 0.1), pinv=0.25)
     got = [r["ln_lk_inv"] for r in likelihood.with_invariant(df, model).orderBy(F.desc("ln_lk")).collect()]
     assert got == pytest.approx([np.log(0.75 * np.exp(-2) + 0.25 * 0.4), np.log(0.75 * np.exp(-3))])
+    deep = spark.createDataFrame([([1, 1, 5], -2000.0), ([1, 2, 4], -2000.0)], "pattern array<int>, ln_lk double")
+    got = {tuple(r["pattern"]): r["ln_lk_inv"] for r in likelihood.with_invariant(deep, model).collect()}
+    assert got[1, 1, 5] == pytest.approx(np.log(0.25 * 0.4)) and got[1, 2, 4] == pytest.approx(np.log(0.75) - 2000)
     assert likelihood.lewis_correction(-10.0, 5.0, [0.1, 0.1]) == pytest.approx(-10 - 5 * np.log(0.8))
 
 
