@@ -275,7 +275,7 @@ def sql() -> dict[str, str]:
         "placement_edge_ranking": f"{every}, {RANKED} SELECT query, edge, loglik, {ranking}",
         "placement_baseline": f"{every} SELECT query, edge, loglik FROM scores",
         "ancestral_states": f"""{lk}, {TREE}, {EDGE_VECTORS},
-            full_trans AS (SELECT node AS edge, cat, i, j, sum(vv * (exp(lam * rate * len) - 1)) + CASE WHEN i = j THEN 1 ELSE 0 END AS p FROM tree_nodes, cats, basis WHERE node > 0 AND NOT is_tip GROUP BY ALL),
+            full_trans AS (SELECT node AS edge, cat, i, j, sum(vv * (exp(lam * rate * len) - 1)) + CASE WHEN i = j THEN 1 ELSE 0 END AS p FROM tree_nodes, cats, basis WHERE node > 0 AND NOT is_tip GROUP BY node, cat, i, j),
             outer_vec AS (SELECT v.pattern_id, v.edge, v.cat, t.i AS state, sum(t.p * v.high) AS high FROM edge_vec v JOIN full_trans t ON t.edge = v.edge AND t.cat = v.cat AND t.j = v.state GROUP BY ALL),
             joint AS (
               SELECT pattern_id, edge AS node_id, state, sum(cat_weight * pi * low * o.high) AS x FROM edge_vec JOIN outer_vec o USING (pattern_id, edge, cat, state) JOIN cats USING (cat) JOIN states USING (state) GROUP BY pattern_id, edge, state
