@@ -106,7 +106,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = left.count()
-    hot = [r[0] for r in left.groupBy(key).count().filter(F.col("count") > max(1000, total // (2 * parts))).select(key).collect()]
+    hot = [r[0] for r in left.groupBy(key).count().filter(F.col("count") > max(100, total // (2 * parts))).select(key).collect()]
     if not hot:
         return left.join(right, key)
     is_hot = F.col(key).isin(hot)
