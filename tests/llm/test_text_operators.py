@@ -112,6 +112,24 @@ def test_license_templates(spark):
     assert labels == ["mit", "mit", "", "cc-by,cc-by-nc-4.0"]
 
 
+def test_every_license_template_is_found_and_told_apart(spark):
+    """Whole notices, and notices of 12 words or more with one word changed, get their own label; repeated rows are judged alike."""
+    rng, rows, want = random.Random(31), [], {}
+    for template, label in license_scan.TEMPLATES:
+        w = template.split()
+        for change in (False, True) if len(w) >= 12 else (False,):
+            own = list(w)
+            if change:
+                own[rng.randrange(4, len(own) - 4)] = "otherwise"
+            for _ in range(2):
+                want[len(rows)] = label
+                rows.append((len(rows), f"Some file.\n\n{' '.join(own).capitalize()}!\n\nmore text"))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(frame(spark, rows)).collect()}
+    for k, label in want.items():
+        assert label in found[k][0].split(",") and found[k][1] >= license_scan.COVERAGE, rows[k]
+        assert found[k] == found[k ^ 1]
+
+
 def brute_fingerprint(text):
     w = (text or "").translate(LOWER).encode().split()
     if not w:
