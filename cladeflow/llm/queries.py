@@ -56,12 +56,22 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base part of the licence scan, which SQL can say."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base part of the quality rules, which SQL can say."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {f.__name__: f for f in (license_places, quality_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_source_mixing": OP2, "op5_warc": OP5, "op9_decontamination": OP9}
+    return {"op1_url_filter": OP1, "op2_source_mixing": OP2, "op5_warc": OP5, "op9_decontamination": OP9, "license_places": PLACES, "quality_statistics": STATISTICS}
 
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
@@ -144,3 +154,32 @@ SELECT o.page_id, o.payload_bytes::BIGINT AS payload_bytes, o.payload_digest,
   CASE WHEN c.first <> o.page_id THEN c.first END AS refers_to
 FROM own o LEFT JOIN copies c ON o.payload_digest = c.payload_digest AND o.payload_bytes >= 1000
 """
+
+PLACES = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') AS w FROM documents
+), phrases(phrase, label, size) AS (VALUES {", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_scan.PHRASES)}),
+places AS (
+  SELECT doc_id, i - 1 AS word_at, label FROM d, phrases, unnest(range(1, len(w) - size + 2)) AS t(i) WHERE array_to_string(w[i:i + size - 1], ' ') = phrase
+), base AS (
+  SELECT doc_id, count(*) AS n, min(word_at) AS first_word, max(word_at) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN base USING (doc_id)
+"""
+
+SPACED = r"[^\x20\x09-\x0D]+"
+STATISTICS = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS w FROM documents
+), wins AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {quality.WINDOW - 1}], ' ')) AS n FROM d, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS t(i)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM wins, unnest(range(i, i + {quality.WINDOW})) AS t(pos) WHERE wins.n > 1 GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{SPACED}') GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < {quality.LEAST_WORDS} OR 100 * coalesce(r.n, 0) > {quality.MOST_REPEATED} * len(w) AS base_failed
+FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+"""
