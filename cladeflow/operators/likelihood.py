@@ -112,7 +112,7 @@ class Block:
                 value, scale = np.repeat(bits[:, None, taxa[tree.name[node]]], ncat, axis=1), np.zeros(count)
             self.up[node], self.scale[node] = value, scale
             if node != tree.root:
-                self.sent[node] = np.einsum("cij,scj->sci", self.p[node], value)
+                self.sent[node] = self._moved(self.p[node], value)
         if down:
             self.base: dict[int, np.ndarray] = {}
             self.base_scale: dict[int, np.ndarray] = {}
@@ -122,7 +122,12 @@ class Block:
                     continue
                 other, (outer, scale) = tree.sibling(node), above[tree.parent[node]]
                 self.base[node], self.base_scale[node] = self._scaled(outer * self.sent[other], scale + self.scale[other])
-                above[node] = np.einsum("cji,scj->sci" if transposed else "cij,scj->sci", self.p[node], self.base[node]), self.base_scale[node]
+                above[node] = self._moved(self.p[node].swapaxes(1, 2) if transposed else self.p[node], self.base[node]), self.base_scale[node]
+
+    @staticmethod
+    def _moved(p: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Each category's matrix applied to each pattern's vector."""
+        return (value.swapaxes(0, 1) @ p.swapaxes(1, 2)).swapaxes(0, 1)
 
     @staticmethod
     def _scaled(value: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +143,7 @@ class Block:
     def insertion(self, edge: int, distal: float, pendant: float) -> np.ndarray:
         """ln of the likelihood with a new tip on an edge, for each pattern and each state of the tip, and for each sum of states: [pattern, mask]."""
         lower, upper, tip = self.model.transition(np.array([distal, self.tree.blen[edge] - distal, pendant]))
-        inner = np.einsum("cij,scj->sci", lower, self.up[edge]) * np.einsum("cij,scj->sci", upper, self.base[edge])
+        inner = self._moved(lower, self.up[edge]) * self._moved(upper, self.base[edge])
         state = np.einsum("c,i,cix,sci->sx", self.model.weights, self.model.freqs, tip, inner)
         chosen = (np.arange(16)[:, None] >> np.arange(4) & 1).astype(float)
         return np.log(np.maximum(state @ chosen.T, LEAST)) + (self.scale[edge] + self.base_scale[edge])[:, None]

@@ -51,7 +51,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query, site, sym: a supplier has its nation's sequence with some symbols replaced."""
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    # each supplier meets all parts; a small file of suppliers is one task unless dealt out first
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     changed = (F.col("s_suppkey") * 31 + F.col("p_partkey")) % 17 == 0
     other = F.substring(F.lit("ACGT"), (1 + (F.col("s_suppkey") + F.col("p_partkey")) % 4).cast("int"), F.lit(1))
