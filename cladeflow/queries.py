@@ -33,7 +33,12 @@ def patterns(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) ->
 
 def stored_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The compressed alignment is used several times, so it is written once."""
-    return written(patterns(spark, sf_dir), "patterns")
+    return _dealt(spark, patterns(spark, sf_dir))
+
+
+def _dealt(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """Patterns as a table of several files: they are few and each costs much work, so no task shall hold all of them."""
+    return written(found.repartition(spark.sparkContext.defaultParallelism, "pattern_id"), "patterns")
 
 
 def counts(spark: SparkSession, sf_dir: str, queries: DataFrame, found: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ def _with_queries(spark, sf_dir) -> tuple[DataFrame, list[str], list[str]]:
     own = derived.query_cells(spark, sf_dir).join(F.broadcast(places), "query").select("site", "row_ix", "sym")
     both = alignment.encoded(derived.cells(spark, sf_dir).select("site", "row_ix", "sym").unionByName(own))
     queries = [f"query_{key}" for key in keys]
-    return written(alignment.site_patterns(both, value="mask"), "patterns"), [*names, *queries], queries
+    return _dealt(spark, alignment.site_patterns(both, value="mask")), [*names, *queries], queries
 
 
 def committed_tree(spark, sf_dir):
