@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, mixing, quality, simhash, token_store, toxicity, url_filter, warc
+from . import decontaminate, html_extract, license_scan, merkle, mixing, piece_codec, quality, simhash, token_store, toxicity, url_filter, warc
 
 #: The production mixture. The largest source is held to a share, the others keep their proportions.
 WEIGHTS = {"src0": 0.15}
@@ -56,6 +56,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
 def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base part of the licence scan, which SQL can say."""
     return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")

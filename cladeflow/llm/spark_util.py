@@ -25,6 +25,31 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_TABLE).split() if text else []
 
 
+class RecentWords:
+    """What a function gives for short keys, kept for those that came back; the many that don't soon make room."""
+
+    def __init__(self, make: Callable, most: int = 200_000, longest: int = 200) -> None:
+        self.make, self.most, self.longest = make, most, longest
+        self.often: dict = {}
+        self.once: dict = {}
+
+    def __call__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
+        if (known := self.often.get(key)) is not None:
+            return known
+        known = self.once.pop(key, None)
+        if known is not None:
+            if len(self.often) >= self.most:
+                self.often.clear()
+            self.often[key] = known
+            return known
+        if len(self.once) >= self.most:
+            self.once.clear()
+        self.once[key] = known = self.make(key)
+        return known
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep what a Python task holds at once small, however long the texts are."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
