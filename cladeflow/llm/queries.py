@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, license_scan, merkle, mixing, piece_codec, quality, simhash, token_store, toxicity, url_filter, warc
+from . import decontaminate, html_extract, license_scan, merkle, mixing, piece_codec, quality, simhash, token_alignment, token_store, toxicity, url_filter, warc
 
 #: The production mixture. The largest source is held to a share, the others keep their proportions.
 WEIGHTS = {"src0": 0.15}
@@ -56,6 +56,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
@@ -79,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op2_source_mixing": OP2, "op5_warc": OP5, "op9_decontamination": OP9, "license_places": PLACES, "quality_statistics": STATISTICS}
+    return {"op1_url_filter": OP1, "op2_source_mixing": OP2, "op5_warc": OP5, "op9_decontamination": OP9, "op12_merkle_manifest": op12_sql(), "license_places": PLACES, "quality_statistics": STATISTICS}
 
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
@@ -191,3 +195,42 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGI
   len(w) < {quality.LEAST_WORDS} OR 100 * coalesce(r.n, 0) > {quality.MOST_REPEATED} * len(w) AS base_failed
 FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
 """
+
+
+#: Levels of a tree that the SQL below unrolls: enough for 8 ** 8 rows.
+SQL_LEVELS = 8
+
+
+def op12_sql() -> str:
+    """Trees, proofs and their folding, a level at a time; the CRC-32 goes over the bits of the decimal id."""
+    coded = lambda text: "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in (*(f"{f}::VARCHAR" for f in merkle.FIELDS[:-1]), text)) + "))"
+    bits = "list_transform(range(8 * length(id)), lambda j: ((ascii(substr(id, j // 8 + 1, 1)) >> (j % 8)) & 1)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+    out = [
+        f"""leaves AS (
+  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY lang) AS size,
+    {coded("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {coded(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {coded("text")} END AS shown
+  FROM (SELECT *, doc_id::VARCHAR AS id FROM documents)
+), a0 AS (SELECT lang, place, size, leaf AS digest FROM leaves)"""
+    ]
+    up = "SELECT {key}place // 8 AS place, (size + 7) // 8 AS size, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM {of} WHERE size > 1 GROUP BY ALL"
+    out += [f"a{k + 1} AS ({up.format(key='lang, ', of=f'(SELECT lang, place, size, digest FROM a{k})').replace('GROUP BY ALL', 'GROUP BY lang, place // 8, size')})" for k in range(SQL_LEVELS)]
+    roots = " UNION ALL ".join(f"SELECT lang, digest FROM a{k} WHERE size = 1" for k in range(SQL_LEVELS + 1))
+    out.append(f"subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM ({roots}))")
+    out.append("b0 AS (SELECT place, size, digest FROM subroots)")
+    out += [f"b{k + 1} AS ({up.format(key='', of=f'b{k}').replace('GROUP BY ALL', 'GROUP BY place // 8, size')})" for k in range(SQL_LEVELS)]
+    out.append("root AS (" + " UNION ALL ".join(f"SELECT digest FROM b{k} WHERE size = 1" for k in range(SQL_LEVELS + 1)) + ")")
+    out.append("f0 AS (SELECT doc_id, lang, place, leaf, shown AS folded, '' AS proof FROM leaves)")
+    for k in range(SQL_LEVELS):
+        out.append(f"""f{k + 1} AS (
+  SELECT f.doc_id, f.lang, f.place // 8 AS place, f.leaf, coalesce(sha256(string_agg(CASE WHEN n.place = f.place THEN f.folded ELSE n.digest END, '' ORDER BY n.place) FILTER (n.size > 1)), f.folded) AS folded,
+    f.proof || coalesce(string_agg(n.digest, '' ORDER BY n.place) FILTER (n.size > 1 AND n.place <> f.place), '') AS proof
+  FROM f{k} f LEFT JOIN a{k} n ON n.lang IS NOT DISTINCT FROM f.lang AND n.place // 8 = f.place // 8 GROUP BY f.doc_id, f.lang, f.place, f.leaf, f.folded, f.proof)""")
+    out.append(f"g0 AS (SELECT f.doc_id, f.lang, s.place, f.leaf, s.digest AS subroot, f.folded, f.proof FROM f{SQL_LEVELS} f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang)")
+    for k in range(SQL_LEVELS):
+        out.append(f"""g{k + 1} AS (
+  SELECT g.doc_id, g.lang, g.place // 8 AS place, g.leaf, g.subroot, coalesce(sha256(string_agg(CASE WHEN n.place = g.place THEN g.folded ELSE n.digest END, '' ORDER BY n.place) FILTER (n.size > 1)), g.folded) AS folded,
+    g.proof || coalesce(string_agg(n.digest, '' ORDER BY n.place) FILTER (n.size > 1 AND n.place <> g.place), '') AS proof
+  FROM g{k} g LEFT JOIN b{k} n ON n.place // 8 = g.place // 8 GROUP BY g.doc_id, g.lang, g.place, g.leaf, g.subroot, g.folded, g.proof)""")
+    last = f"SELECT g.doc_id, g.leaf, g.subroot, r.digest AS root, sha256(g.proof) AS proof_sha256, g.folded AS folded_root, g.folded = r.digest AS verified FROM g{SQL_LEVELS} g, root r"
+    return "WITH " + ",\n".join(out) + "\n" + last
