@@ -57,7 +57,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)  # read for its table only
         count = model.get_piece_size()
         self.text = [model.id_to_piece(i) for i in range(count)]
-        self.unknown = model.unk_id()
+        self.sizes, self.unknown = [len(t) for t in self.text], model.unk_id()
         byte = [i for i in range(count) if model.is_byte(i)]
         self.byte = {int(self.text[i][3:-1], 16): i for i in byte}
         self.control = {i for i in range(count) if model.is_control(i)}
@@ -67,6 +67,8 @@ class Pieces:
         if any(re.search(f"[^{SPACE}]{SPACE}", self.text[i]) for i in plain) or any(model.is_unused(i) for i in range(count)):
             raise ValueError("pieces with an inner space mark, or unused ones, are not supported")
         self.id = {self.text[i]: i for i in plain}
+        #: Neighbours within pieces: no token spans two other characters.
+        self.pairs = {t[k : k + 2] for t in self.id for k in range(len(t) - 1)}
         self.rank = {i: -model.get_score(i) for i in plain}
         self.parts: dict[int, tuple[int, int]] = {}
         #: Pieces whose own merging isn't in the order of ranks; for these compatibility is found by merging.
@@ -134,28 +136,32 @@ class PieceEncoder:
         self.fits: dict[int, bool] = {}
 
     def _compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) >= MOST_PAIRS:
-                self.fits.clear()
-            found = self.fits[key] = self.pieces.compatible(a, b)
+        if len(self.fits) >= MOST_PAIRS:
+            self.fits.clear()
+        found = self.fits[a << 32 | b] = self.pieces.compatible(a, b)
         return found
 
     def table(self, part: str) -> list[int]:
         """The last token of each prefix (of one or more characters), -1 where a character has no piece."""
-        last, fits = [-1] * (len(part) + 1), self._compatible
-        for end, (token, size) in self.pieces.automaton.iter(part):
-            end += 1
-            if last[end] < 0:
-                before = end - size
-                if before == 0 or last[before] < 0 or fits(last[before], token):
-                    last[end] = token
+        last, fits, end_of = [-1] * (len(part) + 1), self.fits.get, self.pieces.automaton.iter
+        for at, (token, size) in end_of(part):
+            at += 1
+            if last[at] < 0:
+                before = last[at - size]
+                if before < 0:  # nothing is before, or bytes
+                    last[at] = token
+                else:
+                    fit = fits(before << 32 | token)
+                    if self._compatible(before, token) if fit is None else fit:
+                        last[at] = token
         return last
 
     def _part(self, part: str) -> bytes:
-        """The ids of one part, as 32-bit integers."""
-        last, at, back = self.table(part), len(part), []
+        """The ids of one part, as 32-bit integers. A last character that no piece has behind the one before is a token of
+        its own, so the part is looked up without it."""
+        if len(part) > 2 and part[-2:] not in self.pieces.pairs:
+            return (self.known.often.get(part[:-1]) or self.known.missed(part[:-1])) + self._part(part[-1])
+        last, at, back, sizes = self.table(part), len(part), [], self.pieces.sizes
         while at:
             token = last[at]
             if token < 0:
@@ -163,8 +169,9 @@ class PieceEncoder:
                 at -= 1
             else:
                 back.append(token)
-                at -= len(self.pieces.text[token])
-        return array("i", back[::-1]).tobytes()
+                at -= sizes[token]
+        back.reverse()
+        return array("i", back).tobytes()
 
     def _parts(self, text: str) -> Iterator[list[str]]:
         """The text with a space in front, in parts that begin with their run of spaces."""
@@ -182,9 +189,9 @@ class PieceEncoder:
 
     def __call__(self, text: str | None) -> bytes:
         """All ids of a text, as 32-bit integers."""
-        out, often = [], self.known.often
+        out, often, missed = [], self.known.often.get, self.known.missed
         for parts in self._parts(text or ""):
-            out += [often.get(p) or self.known(p) for p in parts]
+            out += [often(p) or missed(p) for p in parts]
         return b"".join(out)
 
 

@@ -28,16 +28,15 @@ def words(text: bytes | None) -> list[bytes]:
 class RecentWords:
     """What a function gives for short keys, kept for those that came back; the many that don't soon make room."""
 
-    def __init__(self, make: Callable, most: int = 200_000, longest: int = 200) -> None:
+    def __init__(self, make: Callable, most: int = 400_000, longest: int = 200) -> None:
         self.make, self.most, self.longest = make, most, longest
         self.often: dict = {}
         self.once: dict = {}
 
-    def __call__(self, key):
+    def missed(self, key):
+        """For a key that is not in ``often``."""
         if len(key) > self.longest:
             return self.make(key)
-        if (known := self.often.get(key)) is not None:
-            return known
         known = self.once.pop(key, None)
         if known is not None:
             if len(self.often) >= self.most:
