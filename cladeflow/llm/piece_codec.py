@@ -21,6 +21,7 @@ rows and ids are kept as they are; extra columns are not read. An empty table gi
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections import Counter
@@ -32,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .spark_util import BATCH_ROWS, RecentWords, map_rows, small_batches
+from .spark_util import BATCH_ROWS, RecentWords, small_batches
 
 SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 #: Characters of a text that are split at once, and compatibility answers that are kept.
@@ -203,10 +205,11 @@ class PieceDecoder:
         of_byte = {i: bytes([b]) for b, i in pieces.byte.items()}
         self.table = [of_byte.get(i, b"" if i in pieces.control else t.replace(SPACE, " ").encode()) for i, t in enumerate(pieces.text)]
         self.table[pieces.unknown] = UNKNOWN_TEXT.encode()
+        self.last_silent = max(pieces.control, default=-1)
         self.silent, self.spaced = pieces.control, {i for i, t in enumerate(pieces.text) if t.startswith(SPACE)}
 
     def __call__(self, ids: list[int]) -> str:
-        if self.silent.isdisjoint(ids):
+        if not ids or min(ids) > self.last_silent or self.silent.isdisjoint(ids):
             return self._text(ids, bool(ids) and ids[0] in self.spaced)
         out: list[str] = []
         for silent, run in groupby(ids, self.silent.__contains__):  # bytes on both sides of a silent piece make no character
@@ -266,19 +269,45 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _over_ids(tokens: DataFrame, carry: list[str], schema: str, factory: Callable[[], Callable[[list[int]], tuple]]) -> DataFrame:
+    """The ``carry`` columns, and what a kernel makes of each row's ids."""
+    small_batches(tokens.sparkSession)
+    added = StructType.fromDDL(schema)
+    out, kept = StructType([*(tokens.schema[c] for c in carry), *added.fields]), len(carry)
+    types = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = factory()
+        for batch in batches:
+            ids = batch.column(kept).fill_null([])
+            values, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
+            rows = [kernel(values[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False)]
+            columns = list(zip(*rows, strict=True)) or [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=out.names)
+        pa.default_memory_pool().release_unused()
+
+    return tokens.select(*(F.col(f"`{c}`") for c in carry), F.col("ids").alias("in_ids")).mapInArrow(run, out)
+
+
 def decoded(tokens: DataFrame, model: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns (doc_id and ids) and text: what the ids stand for."""
+    """The ``carry`` columns (doc_id) and text: what the ids stand for."""
     path = model or default_model()
 
-    def factory() -> Callable[[list[int] | None], tuple]:
+    def factory() -> Callable[[list[int]], tuple]:
         decode = decoder_for(path)
-        return lambda ids: (decode(ids or []),)
+        return lambda ids: (decode(ids),)
 
-    return map_rows(tokens, carry or ["doc_id", "ids"], ["ids"], "text string", factory)
+    return _over_ids(tokens, ["doc_id"] if carry is None else carry, "text string", factory)
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256, by way of the ids and the decoded text."""
-    back = decoded(encoded(docs, model), model)
-    listed = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    """Per document: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256 (of the text that the ids decode to)."""
+    path = model or default_model()
+
+    def factory() -> Callable[[list[int]], tuple]:
+        decode = decoder_for(path)
+        decimal = [str(i) for i in range(len(decode.table))]
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        return lambda ids: (len(ids), digest(",".join(map(decimal.__getitem__, ids))), digest(decode(ids)))
+
+    return _over_ids(encoded(docs, model), ["doc_id"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", factory)

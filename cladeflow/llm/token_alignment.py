@@ -26,12 +26,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,9 @@ RUN_RECORDS, RADIXES, FAN_IN, MOST_BYTES = 1 << 20, 64, 64, 64 << 20
 B_BITS = 24
 #: Parts of texts whose links a Python process keeps (twice as many at most), the characters of the longest, and
 #: characters of a text that are cut at once.
-MOST_PARTS, LONGEST, PIECE_CHARS = 150_000, 64, 1_000_000
+MOST_PARTS, LONGEST, PIECE_CHARS = 200_000, 64, 1_000_000
+#: Letters before this one are Latin.
+MOST_LATIN = "\u0250"
 #: What a task makes: a row for each document, and a row for each run and radix.
 MADE = "run bigint, slot int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, radix int, pairs binary, records binary"
 
@@ -60,16 +63,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@dataclass(frozen=True)
-class Part:
-    """What a part of a text has: tokens, groups, link pairs with how often each stands, and its groups as text."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: list[int]
-    times: list[int]
-    groups: str
+#: What a part of a text has: how many tokens A and B, groups and links, the pairs of its links as 64-bit numbers, and
+#: its groups as text, each with a semicolon behind.
+Part = tuple[int, int, int, int, bytes, bytes]
+NO_PART: Part = (0, 0, 0, 0, b"", b"")
 
 
 class Aligner:
@@ -90,9 +87,37 @@ class Aligner:
         byte = dict(zip([chr(b) for b in plain] + [chr(256 + k) for k in range(256 - len(plain))], [*plain, *(b for b in range(256) if b not in plain)], strict=True))
         self.bytes_a = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode() for i in range(self.b.get_piece_size())]
+        self.merge = self._merger()
+        self.length_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.length_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
+        self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        most = max(len(self.length_a), len(self.length_b))
+        self.comma, self.bar, self.end = ([b"%d%s" % (i, c) for i in range(most)] for c in (b",", b"|", b";"))
+        texts = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        #: Neighbours within B's pieces, and single signs that no word of A goes on with: their ids in A and B.
+        self.pairs = {t[k : k + 2] for t in texts for k in range(len(t) - 1)}
+        self.signs = {c: (self.a.token_to_id(c), self.b.piece_to_id(c)) for c in ".,;:!?"}
         self.new: dict[str, Part | None] = {}
         self.old: dict[str, Part | None] = {}
 
+    def _merger(self) -> Callable[[str], list[int]]:
+        """Words to ids, where a pair's rank is the id it merges into (else by the whole tokenizer)."""
+        import tiktoken
+
+        whole = lambda p: self.a.encode(p, add_special_tokens=False).ids
+        merges = json.loads(self.a.to_str())["model"]["merges"]
+        vocabulary = self.a.get_vocab()
+        ranked = [vocabulary["".join(m)] for m in merges]
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        if ranked != sorted(ranked) or any(len(b) == 1 and i > ranked[0] for i, b in self.bytes_a.items()):
+            return whole
+        ranks = {self.bytes_a[i]: i for t, i in vocabulary.items() if t not in special}
+        try:
+            words = tiktoken.Encoding("words", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={})
+        except ValueError:
+            return whole
+        return words.encode_ordinary
+
     def parts(self, text: str) -> list[str]:
         """A space and the text, cut where both tokenizers cut; few cuts of very long texts are left out."""
         whole, out, at = " " + text, [], 0
@@ -108,45 +133,84 @@ class Aligner:
             at = end
         return out
 
-    def _part(self, part: str, a: list[int], b: list[int]) -> Part | None:
-        """The links of a part's tokens; None where they don't give the part back."""
-        own = part.encode()
-        left, right = [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
-        if b"".join(left) != own or b"".join(right) != own:
-            return None
-        found: Counter[int] = Counter()
-        texts, i, j, i0, j0, end_a, end_b = [], 0, 0, 0, 0, len(left[0]), len(right[0])
-        while True:
-            found[a[i] << B_BITS | b[j]] += 1
-            if end_a == end_b:
-                texts.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                i0, j0, end_a, end_b = i, j, end_a + len(left[i]), end_b + len(right[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(left[i])
-            else:
-                j += 1
-                end_b += len(right[j])
-        return Part(len(a), len(b), len(texts), list(found), list(found.values()), ";".join(texts))
+    def _ids_a(self, parts: list[str]) -> list[list[int]]:
+        """A space and Latin letters are one word of A, which only merges; all else goes through the whole tokenizer."""
+        out: list[list[int] | None] = [self.merge(p) if p[1:].isalpha() and p < MOST_LATIN and max(p) < MOST_LATIN else None for p in parts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, coded in zip(rest, self.a.encode_batch_fast([parts[k] for k in rest], add_special_tokens=False) if rest else (), strict=True):
+            out[k] = coded.ids
+        return out
+
+    def _parts(self, parts: list[str]) -> list[Part | None]:
+        """Several parts at once; None where the tokens don't give a part back.
+
+        Between two ends of tokens that follow each other there is one token of A and one of B, and each link is once
+        such a place; where an A and a B token end together, a group ends.
+        """
+        coded_a, coded_b = self._ids_a(parts), self.b.encode([p[1:] for p in parts])
+        sizes = np.array([len(p.encode()) for p in parts], np.int64)
+        whole = [b"".join(map(self.bytes_a.__getitem__, a)) == p.encode() == b"".join(map(self.bytes_b.__getitem__, b)) for p, a, b in zip(parts, coded_a, coded_b, strict=True)]
+        if not all(whole):
+            coded_a, coded_b = ([x if ok else [] for x, ok in zip(coded, whole, strict=True)] for coded in (coded_a, coded_b))
+            sizes = np.where(whole, sizes, 0)
+        n_a, n_b = np.array([len(a) for a in coded_a], np.int64), np.array([len(b) for b in coded_b], np.int64)
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(c), np.int64, int(n.sum())) for c, n in ((coded_a, n_a), (coded_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        ends = np.union1d(ends_a, ends_b)
+        pairs = ids_a[np.searchsorted(ends_a, ends)] << B_BITS | ids_b[np.searchsorted(ends_b, ends)]
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        part_ends = np.cumsum(sizes)
+        links, groups = (np.diff(np.searchsorted(x, part_ends, "right"), prepend=0) for x in (ends, cuts))
+        # tokens in the order of the groups' text, each with the sign behind it
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        last_a, last_b = np.isin(ends_a, cuts, assume_unique=True), np.isin(ends_b, cuts, assume_unique=True)
+        order = np.argsort(np.concatenate((group_a * 2, group_b * 2 + 1)), kind="stable").tolist()
+        tables = [(self.comma, self.bar), (self.comma, self.end)]
+        words = [t[k][i] for ids, last, t in ((ids_a, last_a, tables[0]), (ids_b, last_b, tables[1])) for i, k in zip(ids.tolist(), last.tolist(), strict=True)]
+        words = list(map(words.__getitem__, order))
+        raw, at_pair, at_word, out = pairs.astype("<i8").tobytes(), 0, 0, []
+        for ok, a, b, n_groups, n in zip(whole, n_a.tolist(), n_b.tolist(), groups.tolist(), links.tolist(), strict=True):
+            out.append((a, b, n_groups, n, raw[8 * at_pair : 8 * (at_pair + n)], b"".join(words[at_word : at_word + a + b])) if ok else None)
+            at_pair, at_word = at_pair + n, at_word + a + b
+        return out
 
     def look_up(self, parts: list[str]) -> list[Part | None]:
-        """What different parts have; the ones that are new are encoded together."""
+        """What different parts have; the ones that are new are encoded together.
+
+        A is cut between a letter and a sign, and B where no piece has both; such a part is its word's, and the sign.
+        """
         if len(self.new) >= MOST_PARTS:
             self.old, self.new = self.new, {}
-        missing, extra = [], {}
+        missing, signed, seen, extra = [], [], set(), {}
+        new, old, signs, pairs = self.new, self.old, self.signs, self.pairs
         for p in parts:
-            if p not in self.new:
-                if p in self.old:
-                    self.new[p] = self.old[p]
-                else:
-                    missing.append(p)
-        coded = zip(missing, self.a.encode_batch_fast(missing, add_special_tokens=False), self.b.encode([p[1:] for p in missing]), strict=True) if missing else ()
-        for p, a, b in coded:
-            (self.new if len(p) <= LONGEST else extra)[p] = self._part(p, a.ids, b)
-        return [self.new[p] if p in self.new else extra[p] for p in parts]
+            if p in new:
+                continue
+            if p in old:
+                new[p] = old[p]
+                continue
+            if p[-1] in signs and p[-2].isalpha() and p[-2:] not in pairs:
+                signed.append(p)
+                p = p[:-1]
+                if p in new:
+                    continue
+                if p in old:
+                    new[p] = old[p]
+                    continue
+            if p not in seen:
+                seen.add(p)
+                missing.append(p)
+        for p, found in zip(missing, self._parts(missing) if missing else (), strict=True):
+            (new if len(p) <= LONGEST else extra)[p] = found
+        for p in signed:
+            word = new[p[:-1]] if p[:-1] in new else extra[p[:-1]]
+            if word is None:
+                extra[p] = None
+                continue
+            a, b = signs[p[-1]]
+            n_a, n_b, n_groups, n, raw, text = word
+            (new if len(p) <= LONGEST else extra)[p] = n_a + 1, n_b + 1, n_groups + 1, n + 1, raw + (a << B_BITS | b).to_bytes(8, "little"), text + b"%d|%d;" % (a, b)
+        return [new[p] if p in new else extra[p] for p in parts]
 
 
 @dataclass
@@ -181,26 +245,23 @@ def aligned(texts: list[str | None], aligner: Aligner) -> Aligned:
     if bad.any():  # these texts have no tokens at all
         out = np.isin(owner, owner[bad[codes]])
         codes, owner = codes[~out], owner[~out]
-    values = [f or Part(0, 0, 0, [], [], "") for f in found]
-    count = lambda name: np.array([getattr(v, name) for v in values], np.int64)
-    totals = [np.bincount(owner, count(name)[codes], len(texts)).astype(np.int64) if len(codes) else np.zeros(len(texts), np.int64) for name in ("n_a", "n_b", "n_groups")]
-    ends, strings, groups = np.searchsorted(owner, np.arange(len(texts) + 1)), [v.groups for v in values], []
-    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-        text = ";".join([strings[c] for c in codes[lo:hi].tolist()])
-        groups.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-    lengths = np.array([len(v.pairs) for v in values], np.int64)
+    values = [f or NO_PART for f in found]
+    counts = np.array([v[:4] for v in values], np.int64).reshape(-1, 4)
+    totals = [np.bincount(owner, counts[codes, k], len(texts)).astype(np.int64) for k in range(4)]
+    ends, strings, groups = np.searchsorted(owner, np.arange(len(texts) + 1)), [v[5] for v in values], []
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        text = b"".join([strings[c] for c in codes[lo:hi].tolist()])[:-1]
+        groups.append(hashlib.sha256(text).hexdigest() if text else "")
+    lengths, width = counts[:, 3], max(1, len(values))
     begin = np.cumsum(lengths) - lengths
-    flat = np.array([p for v in values for p in v.pairs], np.int64)
-    flat_times = np.array([t for v in values for t in v.times], np.int64)
-    used, often = np.unique(owner * max(1, len(values)) + codes, return_counts=True)
-    slot, code = np.divmod(used, max(1, len(values)))
+    pairs, place = np.unique(np.frombuffer(b"".join([v[4] for v in values]), "<i8"), return_inverse=True)
+    used, often = np.unique(owner * width + codes, return_counts=True)
+    slot, code = np.divmod(used, width)
     n = lengths[code]
     at = np.repeat(begin[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    pairs, place = np.unique(flat, return_inverse=True)
-    keys, times = summed(np.repeat(slot, n) * max(1, len(pairs)) + place[at], np.repeat(often, n) * flat_times[at])
+    keys, times = summed(np.repeat(slot, n) * max(1, len(pairs)) + place[at], np.repeat(often, n))
     slot, which = np.divmod(keys, max(1, len(pairs)))
-    n_links = np.bincount(slot, times, len(texts)).astype(np.int64) if len(slot) else np.zeros(len(texts), np.int64)
-    return Aligned(*totals, n_links, groups, slot, pairs[which] if len(pairs) else flat, times)
+    return Aligned(*totals, groups, slot, pairs[which] if len(pairs) else keys, times)
 
 
 @lru_cache(maxsize=1)
