@@ -241,6 +241,63 @@ SELECT pattern_id, weight, {total} AS score FROM {last} JOIN pats USING (pattern
 """
 
 
+RINGS = """
+centres AS (SELECT n.node AS prune_root, n.parent AS up, p.parent AS grandparent, s.node AS sibling FROM tree_nodes n JOIN tree_nodes p ON p.node = n.parent JOIN tree_nodes s ON s.parent = n.parent AND s.node <> n.node WHERE p.parent IS NOT NULL),
+links AS (SELECT parent AS near, node AS far, node AS edge FROM tree_nodes WHERE parent IS NOT NULL UNION ALL SELECT node, parent, node FROM tree_nodes WHERE parent IS NOT NULL),
+walk(prune_root, edge, ring, far) AS (
+  SELECT c.prune_root, l.edge, 0, l.far FROM centres c JOIN links l ON l.near IN (c.sibling, c.grandparent) AND l.far <> c.up
+  UNION ALL SELECT w.prune_root, l.edge, w.ring + 1, l.far FROM walk w JOIN links l ON l.near = w.far AND l.edge <> w.edge WHERE w.ring < 4
+)
+"""
+
+#: A tip moved to the middle of another one's branch, whose vector is then that of both behind the branch's upper half.
+REGRAFTS = """
+halves AS (
+  SELECT n_nationkey AS row_ix, cat, i, j, sum(vv * (exp(lam * rate * (1 + (n_nationkey * 7) % 13) / 200.0::DOUBLE) - 1)) + CASE WHEN i = j THEN 1 ELSE 0 END AS p
+  FROM nation, cats, basis GROUP BY n_nationkey, cat, i, j
+),
+low AS (SELECT m.pattern_id, m.region, m.row_ix, h.cat, h.i AS state, sum(h.p * (m.mask >> h.j & 1)) AS value FROM pm m JOIN halves h USING (row_ix) GROUP BY ALL),
+both_below AS (
+  SELECT u.pattern_id, u.region AS region_u, u.row_ix AS target, t.region AS region_t, t.row_ix AS moved, u.cat, u.state, u.value * t.value AS value
+  FROM low u JOIN tip_sent t ON t.pattern_id = u.pattern_id AND t.cat = u.cat AND t.state = u.state AND t.row_ix <> u.row_ix
+),
+both_sent AS (SELECT b.pattern_id, region_u, target, region_t, moved, b.cat, h.i AS state, sum(h.p * b.value) AS value FROM both_below b JOIN halves h ON h.row_ix = target AND h.cat = b.cat AND h.j = b.state GROUP BY ALL),
+region_new AS (
+  SELECT b.pattern_id, region_u, target, region_t, moved, b.cat, b.state, r.value / u.value / CASE WHEN region_u = region_t THEN t.value ELSE 1 END * b.value AS value
+  FROM both_sent b JOIN region_up r ON r.pattern_id = b.pattern_id AND r.region = region_u AND r.cat = b.cat AND r.state = b.state
+  JOIN tip_sent u ON u.pattern_id = b.pattern_id AND u.row_ix = target AND u.cat = b.cat AND u.state = b.state
+  JOIN tip_sent t ON t.pattern_id = b.pattern_id AND t.row_ix = moved AND t.cat = b.cat AND t.state = b.state
+),
+region_new_sent AS (SELECT n.pattern_id, region_u, target, region_t, moved, n.cat, p.i AS state, sum(p.p * n.value) AS value FROM region_new n JOIN trans p ON p.node = 'r' || region_u AND p.cat = n.cat AND p.j = n.state GROUP BY ALL),
+left_sent AS (
+  SELECT t.pattern_id, t.region, t.row_ix, t.cat, p.i AS state, sum(p.p * r.value / t.value) AS value
+  FROM tip_sent t JOIN region_up r USING (pattern_id, region, cat, state) JOIN trans p ON p.node = 'r' || t.region AND p.cat = t.cat AND p.j = t.state GROUP BY ALL
+),
+regraft_lk AS (
+  SELECT n.moved, n.target, n.pattern_id, sum(cat_weight * pi * root.value / a.value * n.value * CASE WHEN region_u = region_t THEN 1 ELSE l.value / b.value END) AS lk
+  FROM region_new_sent n JOIN root USING (pattern_id, cat, state) JOIN cats USING (cat) JOIN states USING (state)
+  JOIN region_sent a ON a.pattern_id = n.pattern_id AND a.region = region_u AND a.cat = n.cat AND a.state = n.state
+  JOIN region_sent b ON b.pattern_id = n.pattern_id AND b.region = region_t AND b.cat = n.cat AND b.state = n.state
+  JOIN left_sent l ON l.pattern_id = n.pattern_id AND l.row_ix = n.moved AND l.cat = n.cat AND l.state = n.state GROUP BY ALL
+),
+regrafts AS (SELECT moved, target, round(sum(weight * ln(lk)), 6) AS loglik FROM regraft_lk JOIN pats USING (pattern_id) GROUP BY ALL)
+"""
+
+
+def _pruned(threshold: float = 2.0, drops: int = 2, depth: int = 10) -> str:
+    """The search from the root downwards over ``scores``, a level at a time."""
+    steps = ["exact AS (SELECT c.query, e.edge, sum(c.weight * e.ln_lk) AS loglik FROM counts c JOIN edge_mask e USING (pattern_id, mask) GROUP BY ALL)"]
+    steps.append("v0 AS (SELECT e.*, 0 AS streak FROM exact e JOIN tree_nodes n ON n.node = e.edge WHERE n.parent = 0)")
+    for k in range(depth):
+        seen = " UNION ALL ".join(f"SELECT query, loglik FROM v{i}" for i in range(k + 1))
+        steps.append(f"""v{k + 1} AS (
+  SELECT e.query, e.edge, e.loglik, CASE WHEN e.loglik < v.loglik - 1e-5 THEN v.streak + 1 ELSE 0 END AS streak
+  FROM v{k} v JOIN (SELECT query, max(loglik) AS best FROM ({seen}) GROUP BY query) b USING (query) JOIN tree_nodes n ON n.parent = v.edge JOIN exact e ON e.query = v.query AND e.edge = n.node
+  WHERE NOT (v.streak >= {drops} AND v.loglik < b.best - {threshold}))""")
+    every = " UNION ALL ".join(f"SELECT * FROM v{k}" for k in range(depth + 1))
+    return ", ".join(steps) + f" SELECT query, edge::INTEGER AS edge, round(loglik, 6) AS loglik FROM ({every})"
+
+
 def sql() -> dict[str, str]:
     shares = [(s, x, 1 / len(of)) for s, of in STATES.items() if s not in MISSING and len(of) < 4 for x in of]
     base, lk = f"WITH {CELLS}, {_patterns('mask')}", f"WITH {CELLS}, {_patterns('mask')}, {_model()}, {_vectors()}"
@@ -291,6 +348,11 @@ def sql() -> dict[str, str]:
             SELECT a.name AS tip_a, b.name AS tip_b, round(a.t + b.t + CASE WHEN a.region = b.region THEN 0 ELSE a.r + b.r END, 6) AS length FROM tips a JOIN tips b ON a.name < b.name""",
         "name_mismatches": mismatches,
         "name_mismatches_all": mismatches,
+        "mixed_name_mismatches": """SELECT n_name AS name, 'alignment' AS missing_in FROM nation WHERE n_regionkey >= 3 AND n_name NOT IN (SELECT r_name FROM region)
+            UNION ALL SELECT r_name, 'tree' FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)""",
+        "ring_edges": f"WITH RECURSIVE {TREE}, {RINGS} SELECT prune_root::INTEGER AS prune_root, edge::INTEGER AS edge, ring FROM walk UNION SELECT prune_root::INTEGER, sibling::INTEGER, 0 FROM centres",
+        "regraft_logliks": f"{lk}, {REGRAFTS} SELECT a.n_name AS tip, b.n_name AS target, loglik FROM regrafts JOIN nation a ON a.n_nationkey = moved JOIN nation b ON b.n_nationkey = target",
+        "pruned_placement": f"{every}, {_pruned()}",
         "bad_symbols": "SELECT p_partkey, i AS site, substr(p_name, i::INTEGER, 1) AS sym FROM part, unnest(range(1, length(p_name) + 1)) AS t(i) WHERE instr('ACGTURYSWKMBDHVN-?.', upper(substr(p_name, i::INTEGER, 1))) = 0",
         "bad_names": "SELECT p_type AS name, count(*) AS n FROM part GROUP BY p_type HAVING count(*) > 1 OR trim(p_type) = '' OR p_type IS NULL",
         "unequal_lengths": "SELECT p_brand AS gene_id, p_type AS name, length(p_name) AS n FROM (SELECT *, max(length(p_name)) OVER (PARTITION BY p_brand) AS sites FROM part) WHERE length(p_name) <> sites OR sites = 0",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.alphabet import mask_of
-from .operators import alignment, likelihood, moves, parsimony, placement, spr, tree_relations
+from .operators import alignment, likelihood, moves, parsimony, placement, pruned_search, rings, spr, tree_relations, vectors
 from .plans import derived, oracle
 from .plans.derived import COSTS, MODEL
 from .plans.shared import shared_path, written
@@ -19,6 +19,10 @@ from .streaming.placement import each_batch
 BATCH = 3
 #: Registered placements optimise every edge of every query, as the reference does by default.
 FULL = placement.Options(candidates=None, passes=4)
+#: Commits screen all edges and optimise those in the best quarter of the span of their scores.
+COMMIT = placement.Options(candidates=None, passes=4, keep=0.25)
+#: The pruned search, and the radius of registered rings.
+PRUNED, RADIUS = pruned_search.PruneOptions(), 4
 
 
 def taxa(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -173,6 +177,33 @@ def placement_ranking(spark, sf_dir):
     return placement_edge_ranking(spark, sf_dir).drop("loglik")
 
 
+def _searched(spark, sf_dir, options: pruned_search.PruneOptions) -> DataFrame:
+    found, tree, names = stored_patterns(spark, sf_dir), derived.tree(spark, sf_dir), taxa(spark, sf_dir)
+    own = written(counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), "counts")
+    return pruned_search.searched(tree, lambda edges: placement.baseline_scores(tree, found, own, MODEL, names, edges=edges), own.select("query"), options)
+
+
+def pruned_placement(spark, sf_dir):
+    """The search from the root downwards that leaves branches which get worse; all (query, edge) that it scored."""
+    return _searched(spark, sf_dir, PRUNED).withColumn("loglik", F.round("loglik", 6))
+
+
+def ring_edges(spark, sf_dir):
+    """The rings of edges around the place of each subtree of the tree, when it is pruned."""
+    return rings.ring_edges(derived.tree(spark, sf_dir).nodes(spark), RADIUS)
+
+
+def regraft_logliks(spark, sf_dir):
+    """The tree's log-likelihood with each nation's tip moved to the middle of each other one's branch."""
+    tree, found = derived.tree(spark, sf_dir), stored_patterns(spark, sf_dir)
+    tips = tree.tips()
+    work = [(t, tree.blen[t], [u for u in tips if u != t]) for t in tips]
+    out = vectors.regraft_scores(tree, found, MODEL, taxa(spark, sf_dir), work)
+    names = spark.createDataFrame([(n, tree.name[n]) for n in tips], "node int, name string")
+    moved, target = (F.broadcast(names.toDF(c, n)) for c, n in (("node", "tip"), ("edge", "target")))
+    return out.join(moved, "node").join(target, "edge").select("tip", "target", F.round("loglik", 6).alias("loglik"))
+
+
 def placements(spark, sf_dir):
     found = stored_patterns(spark, sf_dir)
     return placement.placed(derived.tree(spark, sf_dir), found, counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), MODEL, taxa(spark, sf_dir), FULL)
@@ -196,7 +227,7 @@ def _with_queries(spark, sf_dir) -> tuple[DataFrame, list[str], list[str]]:
 def committed_tree(spark, sf_dir):
     """All queries, each inserted at its best place, in input order."""
     found, names, queries = _with_queries(spark, sf_dir)
-    return placement.committed(derived.tree(spark, sf_dir), found, MODEL, names, queries, FULL).nodes(spark)
+    return placement.committed(derived.tree(spark, sf_dir), found, MODEL, names, queries, COMMIT).nodes(spark)
 
 
 def refined_tree(spark, sf_dir):
@@ -205,7 +236,7 @@ def refined_tree(spark, sf_dir):
     tree = derived.tree(spark, sf_dir)
     for k in range(0, len(queries), BATCH):
         batch = queries[k : k + BATCH]
-        tree, loglik = spr.refined(placement.committed(tree, found, MODEL, names, batch, FULL), found, MODEL, names, batch)
+        tree, loglik = spr.refined(placement.committed(tree, found, MODEL, names, batch, COMMIT), found, MODEL, names, batch)
     return tree.nodes(spark).withColumn("loglik", F.lit(loglik))
 
 
@@ -232,6 +263,13 @@ def name_mismatches_all(spark, sf_dir):
     return name_mismatches(spark, sf_dir)
 
 
+def mixed_name_mismatches(spark, sf_dir):
+    """Tree tips against the names of all regions and of the nations of the first three: both sides miss some."""
+    tips = derived.tree(spark, sf_dir).nodes(spark).filter("is_tip").select("name")
+    rows = derived.table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_name").alias("name"))
+    return alignment.name_mismatches(tips, rows.unionByName(derived.table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))))
+
+
 def _part_names(spark, sf_dir) -> DataFrame:
     return derived.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gene_id"), F.col("p_type").alias("name"), F.col("p_name").alias("seq"), "p_partkey")
 
@@ -284,7 +322,7 @@ def stream_query_counts(spark, sf_dir):
 QUERIES = [
     tree_loglik, tree_loglik_blocked, gene_logliks, alignment_encode, site_patterns, site_pattern_map, base_frequencies, invariant_sites, invariant_sites_all, transition_matrices,
     pattern_likelihoods, edge_logliks, root_states, ancestral_states, fitch_parsimony, sankoff_parsimony, site_repeats, best_interchange, query_counts, placement_baseline, placement_tip_edges,
-    placement_ranking, placement_edge_ranking, placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, name_mismatches_all, bad_symbols, bad_names,
+    placement_ranking, placement_edge_ranking, pruned_placement, ring_edges, regraft_logliks, placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, name_mismatches_all, mixed_name_mismatches, bad_symbols, bad_names,
     unequal_lengths, fasta_round_trip, phylip_round_trip, stream_query_counts,
 ]
 
