@@ -8,7 +8,8 @@ The same seed gives the same mixture on any cluster, and a document's count depe
 Scale: the sizes are one aggregation with partial sums on the map side. The rates have one row a source; they are
 counted, and broadcast only up to ``BROADCAST_SOURCES`` rows. A hot source is dealt out by replica, never by source.
 
-Null sources are a source of their own. Documents with the same id get the same count. Null and empty texts count no
+Weights of present sources above 1 in all are scaled to 1; negative ones are refused. Very long texts are carried as they
+are, and count all their characters. Null sources are a source of their own. Documents with the same id get the same count. Null and empty texts count no
 characters; a source without any characters keeps its documents at rate 1. Extra columns come along; an own column ``replica`` is replaced.
 """
 
@@ -54,13 +55,17 @@ def poisson(mean: Column, seed: str, doc_id: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0) -> DataFrame:
     """mix_source and mix_rate: the target repetition rate of each source.
 
-    ``weights`` maps sources to shares of the mixture's characters; the others share the rest by their sizes.
+    ``weights`` maps sources to shares of the mixture's characters; the others share the rest by their sizes. Weights of
+    present sources that add up to more than 1 are scaled to 1, and nothing is left for the others.
     """
+    if any(not 0 <= w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be numbers from 0 on")
     named = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.lit(None).cast("map<string,double>")
     sizes = docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
     sizes = sizes.withColumn("weight", F.when(F.col("mix_source").isNotNull(), F.try_element_at(named, F.col("mix_source").cast("string"))))
     totals = sizes.agg(F.sum("size").alias("all"), F.sum(F.when(F.col("weight").isNull(), F.col("size"))).alias("others"), F.sum("weight").alias("given"))
-    share = F.coalesce(F.col("weight"), (1 - F.coalesce(F.col("given"), F.lit(0.0))) * F.col("size") / F.col("others"))
+    given = F.coalesce(F.col("given"), F.lit(0.0))
+    share = F.coalesce(F.col("weight") / F.greatest(given, F.lit(1.0)), F.greatest(1 - given, F.lit(0.0)) * F.col("size") / F.col("others"))
     rate = F.when(F.col("size") > 0, share * F.lit(float(epochs)) * F.col("all") / F.col("size")).otherwise(F.lit(1.0))
     return sizes.crossJoin(F.broadcast(totals)).select("mix_source", rate.alias("mix_rate"))  # totals: one row
 

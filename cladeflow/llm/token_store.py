@@ -7,7 +7,9 @@ offset in the whole id stream: a prefix sum over the files' totals, plus the off
 
 Scale: one shuffle (the range partitioning of the texts). Only a row for each file meets in the prefix sum.
 
-Null and empty texts have only the end id. Null ids come first. Documents with equal ids stay, ordered by their texts.
+Null and empty texts have only the end id. Null ids come first. Documents with equal ids stay, in the order
+of a hash of their texts, by which they are also dealt out: no id is one task's, however many rows have it. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -166,7 +168,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """
     small_batches(docs.sparkSession, TEXTS)
     model = tokenizer or default_tokenizer()
-    two = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    two = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("part int, part_start bigint, n_tokens bigint, ids array<int>").fields])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -305,10 +305,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
 
 
 def offsets(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
-    """Character offsets of runs of toxic words."""
+    """Character offsets of runs of toxic words, in time linear in the text."""
     at, out = [m.span() for m in WORD.finditer(text)], []
+    first = np.frombuffer(text, np.uint8) & 0xC0 != 0x80  # of each character's bytes
+    before = np.concatenate(([0], np.cumsum(first))).tolist()
     for i in np.flatnonzero(hit).tolist():
-        a, b = (len(text[:x].decode()) for x in at[i])
+        a, b = (before[x] for x in at[i])
         if out and i and hit[i - 1]:
             out[-1]["end"] = b
         else:

@@ -205,3 +205,46 @@ def test_long_texts_are_cut_in_pieces(monkeypatch):
             monkeypatch.setattr(token_alignment, "PIECE_CHARS", 20)
             cut = token_alignment.aligned([text], aligner)
             assert (once.groups, once.n_links.tolist(), once.pair.tolist(), once.times.tolist()) == (cut.groups, cut.n_links.tolist(), cut.pair.tolist(), cut.times.tolist())
+
+
+# Hot and odd cases of earlier operators
+
+
+def test_offsets_are_linear():
+    import time
+
+    from cladeflow.llm import toxicity
+
+    text = ("é bad " * 500_000).encode()
+    began = time.time()
+    spans = toxicity.offsets(text, np.ones(1_000_000, bool))
+    assert time.time() - began < 10 and spans == [{"start": 0, "end": 6 * 500_000 - 1}]
+    word = toxicity.offsets("é bad 漢 x".encode(), np.array([False, True, False, True]))
+    assert word == [{"start": 2, "end": 5}, {"start": 8, "end": 9}]
+
+
+def test_weights_above_one_are_scaled(spark):
+    from cladeflow.llm import mixing
+
+    docs = spark.createDataFrame([(i, "x" * 10, s) for i, s in enumerate("aabbcc")], "doc_id long, text string, source string")
+    rate = lambda weights: {r["mix_source"]: round(r["mix_rate"], 9) for r in mixing.rates(docs, weights).collect()}
+    assert rate({"a": 0.9, "b": 0.9}) == {"a": 1.5, "b": 1.5, "c": 0.0}
+    assert rate({"a": 0.5, "b": 0.2, "not there": 0.9}) == {"a": 1.5, "b": 0.6, "c": 0.9}
+    assert {r["source"] for r in mixing.mixed(docs, {"a": 0.9, "b": 0.9}).collect()} <= {"a", "b"}
+    with pytest.raises(ValueError):
+        mixing.rates(docs, {"a": -0.1})
+
+
+def test_null_ids_are_dealt_out(spark):
+    from cladeflow.llm import token_store
+
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(3000)] + [(5, "five")], "doc_id long, text string").repartition(4)
+    path = str(docs.sparkSession.conf.get("spark.checkpoint.dir")) + "/null-ids"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one part again
+    schema = token_store.write_tokens(docs, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = token_store.read_tokens(spark, path, schema)
+    sizes = [r["count"] for r in spark.read.schema(schema).orc(path).groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1500
+    found = sorted(rows.select("doc_id", "start", "n_tokens").collect(), key=lambda r: r["start"])
+    assert found[-1]["doc_id"] == 5 and found[-1]["start"] == sum(r["n_tokens"] for r in found[:-1])
