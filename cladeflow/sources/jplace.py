@@ -7,7 +7,6 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
 from ..plans.tree import Tree
 
 FIELDS = ["edge_num", "likelihood", "like_weight_ratio", "distal_length", "pendant_length"]
@@ -41,11 +40,10 @@ def write_jplace(placements: DataFrame, tree: Tree, path: str, invocation: str =
     """One text file, written as a stream of lines: no record is held longer than its line."""
     spark, (text, _) = placements.sparkSession, exported(tree)
     head = json.dumps({"version": 3, "tree": text, "fields": FIELDS, "metadata": {"invocation": invocation}})[:-1] + ', "placements": ['
-    found = written(records(placements, tree).select(F.col("query").cast("string").alias("q"), "json"), "jplace")
-    first = found.agg(F.min(F.coalesce("q", F.lit(""))).alias("first"))  # one row
-    lines = found.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), F.coalesce("q", F.lit("")).alias("q"), F.concat(F.when(F.coalesce("q", F.lit("")) == F.col("first"), "").otherwise(","), "json").alias("line"))
+    lines = records(placements, tree).select(F.lit(1).alias("part"), F.col("query").cast("string").alias("q"), F.col("json").alias("line"))
     ends = spark.createDataFrame([(0, "", head), (2, "", "]}")], "part int, q string, line string")
-    lines.unionByName(ends).repartition(1).sortWithinPartitions("part", "q").select("line").write.text(path)
+    ordered = lines.unionByName(ends).repartition(1).sortWithinPartitions("part", "q").withColumn("at", F.monotonically_increasing_id())  # one file: line numbers
+    ordered.select(F.concat(F.when((F.col("part") == 1) & (F.col("at") > 1), ",").otherwise(""), "line").alias("line")).write.text(path)
 
 
 def read_jplace(text: str) -> dict:

@@ -10,6 +10,7 @@ from cladeflow.functions.model import Model
 from cladeflow.operators import placement, pruned_search, rings, spr, vectors
 from cladeflow.operators.likelihood import Block
 from cladeflow.plans.tree import Tree
+from cladeflow.sources import jplace
 
 MODEL = Model(rates=(1, 2.5, 1, 1, 2.5, 1), freqs=(0.3, 0.4, 0.1, 0.2), alpha=0.5)
 
@@ -195,6 +196,18 @@ def test_ring_search_finds_the_best_edge_with_fewer_scores():
     assert same == 50 and narrow < wide, (same, narrow, wide)
 
 
+def test_jplace_of_null_and_empty_names(spark, tmp_path):
+    tree = Tree.parse("((a:.1,b:.2):.1,c:.3);")
+    edge = next(iter(jplace.exported(tree)[1]))
+    rows = [(q, edge, 1, -1.0, 1.0, 0.1, 0.1) for q in (None, "", "x", "x\"y")]
+    jplace.write_jplace(spark.createDataFrame(rows, "query string, edge int, rank int, loglik double, lwr double, distal double, pendant double"), tree, str(tmp_path / "out"))
+    found = jplace.read_jplace("\n".join(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()))
+    assert sorted(p["n"][0] for p in found["placements"]) == ["", "", "x", 'x"y']
+    empty = spark.createDataFrame([], "query string, edge int, rank int, loglik double, lwr double, distal double, pendant double")
+    jplace.write_jplace(empty, tree, str(tmp_path / "none"))
+    assert jplace.read_jplace("\n".join(r[0] for r in spark.read.text(str(tmp_path / "none")).collect()))["placements"] == []
+
+
 def test_pruned_search(spark, sf_dir):
     every = {(r["query"], r["edge"]): r["loglik"] for r in engine.placement_baseline(spark, sf_dir).collect()}
     rows = lambda options: {(r["query"], r["edge"]): round(r["loglik"], 6) for r in engine._searched(spark, sf_dir, options).collect()}
