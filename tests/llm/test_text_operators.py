@@ -178,7 +178,31 @@ def wide_fingerprint(text):
     return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_deduplicated_against_brute_force(spark):
+def plain_sketch(text):
+    w, least = (text or "").translate(LOWER).encode().split(), {}
+    for i in range(max(1, len(w) - 4)) if w else ():
+        h = xxhash.xxh3_128_intdigest(b" ".join(w[i : i + 5]), 42) >> 64
+        least[h % 256] = min(least.get(h % 256, 1 << 64), h // 256)
+    return {b: 1 + h % 255 for b, h in least.items()}
+
+
+def brute_groups(texts):
+    """Links within components at the budget, between texts whose sketches agree."""
+    loose, sketches = brute_components([wide_fingerprint(t) for t in texts], simhash.WIDE_BITS), [plain_sketch(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sketches[i], sketches[j]
+            if loose[i] == loose[j] and sum(b.get(k) == v for k, v in a.items()) >= simhash.SIMILAR * len(a.keys() | b.keys()):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [None, 7])
+def test_deduplicated_against_brute_force(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(simhash, "LOOKED_AT", block)
     rng = random.Random(16)
     texts = EDGES + random_texts(17, 60, "a b c d e f g h i j k l m n", 300)
     for text in texts[10:50]:
@@ -186,17 +210,40 @@ def test_deduplicated_against_brute_force(spark):
         for _ in range(len(w) // 60):
             w[rng.randrange(len(w))] = "changed"
         texts.append(" ".join(w))
+    for k in range(30):  # a component of more than one block
+        w = texts[40].split()
+        w[k % len(w)] = "again"
+        texts.append(" ".join(w))
     rows = [*enumerate(texts), (0, None), (3, texts[3]), (None, texts[20]), (None, "no other is like this"), (None, "no other is like this"), (7, "one id but another text")]
-    prints = [wide_fingerprint(t) for _, t in rows]
-    roots = brute_components(prints, simhash.WIDE_BITS)
-    best: dict = {}
+    roots, best = brute_groups([t for _, t in rows]), {}
     for k, (doc_id, text) in enumerate(rows):
         best.setdefault(roots[k], []).append((doc_id is None, doc_id or 0, text))
-    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(frame(spark, rows), half=5).collect()), key=str)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(frame(spark, rows)).collect()), key=str)
     assert len(got) == len(best)
     assert sorted((i for i, _ in got), key=str) == sorted((None if min(x, key=lambda y: y[:2])[0] else min(x, key=lambda y: y[:2])[1] for x in best.values()), key=str)
 
 
+def test_share_of_similar_pairs_that_is_dropped(spark):
+    """By Jaccard similarity: from 0.8 up 9 in 10 at least, below 0.75 less than 1 in 10."""
+    rng, rows, pairs = random.Random(19), [], []
+    for k in range(4000):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 400))]
+        other = list(w)
+        for at in rng.sample(range(5, len(w) - 5), max(1, round(len(w) * rng.uniform(0.003, 0.05)))):
+            other[at] = "changed"
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, other)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+        pairs.append((len(sets[0] & sets[1]) / len(sets[0] | sets[1]), 2 * k + 1))
+    kept = {r["doc_id"] for r in simhash.deduplicated(frame(spark, rows)).collect()}
+    assert all(2 * k in kept for k in range(4000))
+    share = lambda low, high: [i not in kept for x, i in pairs if low <= x < high]
+    found = {low: share(low, low + 0.05) for low in (0.8, 0.85, 0.9, 0.95)} | {0.7: share(0.7, 0.75), 0.6: share(0.6, 0.7)}
+    shares = {low: sum(x) / len(x) for low, x in found.items()}
+    assert min(map(len, found.values())) > 100, {k: len(x) for k, x in found.items()}
+    assert min(shares[low] for low in (0.8, 0.85, 0.9, 0.95)) >= 0.9 and shares[0.7] < 0.1 and shares[0.6] < 0.02, shares
+    print(shares)
+
+
 def test_deduplicated_never_loses_a_text_with_a_repeated_id(spark):
     a, b = " ".join(f"word{k}" for k in range(50)), " ".join(f"other{k}" for k in range(50))
     for rows in ([(5, a), (5, b)], [(1, a), (2, a), (2, b)]):
