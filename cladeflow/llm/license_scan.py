@@ -1,17 +1,22 @@
 """Licence scans with a generalised suffix automaton of licence tokens.
 
 Files stream through the automaton of the templates' tokens. The matching statistics give, for each word, the longest
-factor of any template that ends there; right-maximal factors of ``LEAST_MATCH`` words or more are chained in file and
-template order into the spans of a template that a file covers. A template whose chained words reach ``COVERAGE`` of
-its length gives its label. A second automaton of whole phrases gives the base places.
+factor of any template that ends there, and suffix links lead to the shorter ones of other templates and places. Runs of
+``LEAST_MATCH`` words or more that end where their template goes on otherwise are chained in file and template order, by
+the chain that covers most, into the spans of a template that a file covers. A template whose chained words reach
+``COVERAGE`` of its length gives its label. A second automaton of whole phrases gives the base places.
 
 Scale: narrow, one pass, no shuffle; the automata are fixed and small, so they travel in the task closure.
 
-Null, empty and word-less texts have no places, no labels and score 0. Repeated rows are judged one by one.
+Null, empty and word-less texts have no places, no labels and score 0. Repeated rows are judged one by one. Of equally
+good chains that overlap the first one stays. Very long texts are read as a whole, a chain looks back ``MOST_GAP`` words
+before its run. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 
 from .automaton import SuffixAutomaton
@@ -87,27 +92,55 @@ class Licences:
                 length = a.length[state]
         return found
 
+    def found(self, text: list[bytes]) -> dict[int, list[tuple[int, int, int, int]]]:
+        """By template: (start and end in the file, start and end in the template) of all longest common runs of
+        ``LEAST_MATCH`` words or more, in the order of their ends. A run ends where this template goes on otherwise."""
+        a, out = self.templates, {}
+        ids = a.encode(text)
+        for i, state, length in a.matches(ids, LEAST_MATCH):
+            after, seen = int(ids[i + 1]) if i + 1 < len(ids) else -1, set()
+            while length >= LEAST_MATCH:  # shorter runs are those of other places and templates
+                for k, end in self.ends[state] - seen:
+                    if end == len(a.sequences[k]) or a.sequences[k][end] != after:
+                        out.setdefault(k, []).append((i + 1 - length, i + 1, end - length, end))
+                seen |= self.ends[state]
+                state = a.link[state]
+                length = a.length[state]
+        return out
+
     def spans(self, text: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(first word, end, template, covered share) of the chains that reach ``COVERAGE``."""
-        a, chains, out = self.templates, {}, []
-        short = [k for k, s in enumerate(a.sequences) if len(s) < LEAST_MATCH]
-        assert not short, "a template has fewer words than a match"
-        events = list(a.matches(a.encode(text), LEAST_MATCH))
-        for (i, state, length), after in zip(events, [*events[1:], None], strict=False):
-            if after and after[0] == i + 1 and after[2] == length + 1:
-                continue  # it goes on: not right-maximal
-            for k, end in self.ends[state]:
-                chain = chains.get(k)
-                start, begin = i + 1 - length, end - length
-                if chain and 0 <= end - chain[3] and start >= chain[0] and i + 1 - chain[1] <= length + MOST_GAP and end - chain[3] <= length + MOST_GAP and end > chain[3]:
-                    chain[2] += min(length, end - chain[3], i + 1 - chain[1])
-                    chain[1], chain[3] = i + 1, end
-                else:
-                    if chain:
-                        out.append((chain[0], chain[1], k, chain[2] / len(a.sequences[k])))
-                    chains[k] = [start, i + 1, length, begin + length]
-        out += [(c[0], c[1], k, c[2] / len(a.sequences[k])) for k, c in chains.items()]
-        return sorted(x for x in out if x[3] >= COVERAGE)
+        """(first word, end, template, covered share) of the chains that reach ``COVERAGE``; those of one template don't overlap."""
+        out = []
+        for k, runs in self.found(text).items():
+            total, starts, ends = len(self.templates.sequences[k]), [], []  # of the chains that are taken, in order
+            good = [c for c in chained(runs) if c[0] >= COVERAGE * total]
+            for covered, start, end in sorted(good, key=lambda c: (-c[0], c[1], c[2])):
+                at = bisect_left(starts, end)  # those before it begin before this one ends
+                if at == 0 or ends[at - 1] <= start:
+                    starts.insert(at, start)
+                    ends.insert(at, end)
+                    out.append((start, end, k, covered / total))
+        return sorted(out)
+
+
+def chained(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """For each run the chain that ends with it and covers most: (covered words of the template, start and end in the file).
+
+    A run goes on from one that ends before it in both, ``MOST_GAP`` words away at most. Runs that overlap count the new
+    words only. runs: in the order of their ends in the file.
+    """
+    best: list[tuple[int, int, int]] = []
+    ends = [r[1] for r in runs]
+    for start, end, begin, stop in runs:
+        covered, first = end - start, start
+        for m in range(bisect_left(ends, start - MOST_GAP), bisect_left(ends, end)):
+            _, end_m, _, stop_m = runs[m]
+            if stop_m < stop and begin - stop_m <= MOST_GAP and runs[m][0] <= start and runs[m][2] <= begin:
+                more = best[m][0] + min(end - start, end - end_m, stop - stop_m)
+                if (more, -best[m][1]) > (covered, -first):
+                    covered, first = more, best[m][1]
+        best.append((covered, first, end))
+    return best
 
 
 def scan(docs: DataFrame) -> DataFrame:

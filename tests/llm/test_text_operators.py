@@ -440,3 +440,52 @@ def test_toxicity_on_held_out_rows(spark):
     assert [(s["start"], s["end"]) for s in out[9004]["spans"]] == [(1_100_000, 1_100_007)] and out[9004]["predicted"] == 1
     assert out[9005]["score"] == out[9006]["score"] == out[7]["score"]
     assert sorted(toxicity.accepted(docs, known).columns) == sorted(docs.columns)
+
+
+def brute_spans(text, templates):
+    """All longest common runs by comparing every place with every place, and the best chains of them."""
+    out = []
+    for k, (t, _) in enumerate(templates):
+        t, runs = t.split(), []
+        for i in range(1, len(text) + 1):
+            for e in range(1, len(t) + 1):
+                n = 0
+                while n < min(i, e) and text[i - 1 - n] == t[e - 1 - n]:
+                    n += 1
+                if n >= license_scan.LEAST_MATCH and (i == len(text) or e == len(t) or text[i] != t[e]):
+                    runs.append((i - n, i, e - n, e))
+        best = []
+        for a, b, c, d in runs:
+            own = [(b - a, -a)]
+            for m, (a2, b2, c2, d2) in enumerate(runs[: len(best)]):
+                if b2 < b and d2 < d and a - b2 <= license_scan.MOST_GAP and c - d2 <= license_scan.MOST_GAP and a2 <= a and c2 <= c:
+                    own.append((best[m][0] + min(b - a, b - b2, d - d2), -best[m][1]))
+            covered, first = max(own)
+            best.append((covered, -first, b))
+        taken = []
+        for covered, a, b in sorted(best, key=lambda x: (-x[0], x[1], x[2])):
+            if covered >= license_scan.COVERAGE * len(t) and all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                out.append((a, b, k, covered / len(t)))
+    return sorted(out)
+
+
+def test_license_chains_against_brute_force():
+    rng = random.Random(31)
+    for _ in range(150):
+        templates = [(" ".join(rng.choice("abcd") for _ in range(rng.randint(4, 14))), f"l{k}") for k in range(4)]
+        found = license_scan.Licences(templates=templates)
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            text += [rng.choice("abcdx") for _ in range(rng.randint(0, 12))]
+            notice = rng.choice(templates)[0].split()
+            text += [w for w in notice if rng.random() > 0.1]
+        assert found.spans([w.encode() for w in text]) == brute_spans(text, templates)
+
+
+def test_license_templates_with_repeated_and_shared_passages():
+    spans = lambda templates, text: {k for _, _, k, _ in license_scan.Licences(templates=[(t, t) for t in templates]).spans(text.encode().split())}
+    assert spans(["p q r s t u v w p q r x y z l m n o"], "p q r NEW s t u v w p q r x y z l m n o") == {0}
+    shared = ["a b c d e f g h x", "a b c d e f g h k l m"]
+    assert spans(shared, "a b c d e f g h x k l m") == {0, 1}
+    assert spans(shared, "a b c d e f g h y k l m") == {0, 1}
