@@ -209,6 +209,13 @@ def placements(spark, sf_dir):
     return placement.placed(derived.tree(spark, sf_dir), found, counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), MODEL, taxa(spark, sf_dir), FULL)
 
 
+def selective_placements(spark, sf_dir):
+    """All edges in one pass, and three more for the best edges of ambiguous queries."""
+    found = stored_patterns(spark, sf_dir)
+    own = written(counts(spark, sf_dir, derived.query_cells(spark, sf_dir), found), "counts")
+    return placement.selectively_placed(derived.tree(spark, sf_dir), found, own, MODEL, taxa(spark, sf_dir), FULL)
+
+
 def jplace_records(spark, sf_dir):
     return jplace.records(placements(spark, sf_dir), derived.tree(spark, sf_dir))
 
@@ -322,7 +329,7 @@ def stream_query_counts(spark, sf_dir):
 QUERIES = [
     tree_loglik, tree_loglik_blocked, gene_logliks, alignment_encode, site_patterns, site_pattern_map, base_frequencies, invariant_sites, invariant_sites_all, transition_matrices,
     pattern_likelihoods, edge_logliks, root_states, ancestral_states, fitch_parsimony, sankoff_parsimony, site_repeats, best_interchange, query_counts, placement_baseline, placement_tip_edges,
-    placement_ranking, placement_edge_ranking, pruned_placement, ring_edges, regraft_logliks, placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, name_mismatches_all, mixed_name_mismatches, bad_symbols, bad_names,
+    placement_ranking, placement_edge_ranking, pruned_placement, ring_edges, regraft_logliks, placements, selective_placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, name_mismatches_all, mixed_name_mismatches, bad_symbols, bad_names,
     unequal_lengths, fasta_round_trip, phylip_round_trip, stream_query_counts,
 ]
 

@@ -228,3 +228,28 @@ def test_commits_that_screen_edges_are_those_that_optimise_all(spark, sf_dir):
     counts = [placement.edge_scores(tree, found, names.index(some[0]), engine.MODEL, names).collect()]
     span = sorted(r["loglik"] for r in counts[0])
     assert sum(x >= span[-1] - engine.COMMIT.keep * (span[-1] - span[0]) for x in span) < len(span) / 2
+
+
+def test_selective_refinement_keeps_the_best_edge(spark, sf_dir, monkeypatch):
+    found, tree, names = engine.stored_patterns(spark, sf_dir), engine.derived.tree(spark, sf_dir), engine.taxa(spark, sf_dir)
+    counts = engine.counts(spark, sf_dir, engine.derived.query_cells(spark, sf_dir), found)
+    whole = {(r["query"], r["rank"]): r for r in placement.placed(tree, found, counts, engine.MODEL, names, engine.FULL).collect()}
+    entered, ambiguous = [], placement.ambiguous
+
+    def watched(scores, before, options):
+        out = ambiguous(scores, before, options)
+        entered.append(sorted((r["query"], len(r["edges"])) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(placement, "ambiguous", watched)
+    queries = {q for q, _ in whole}
+    some = {(r["query"], r["rank"]): r for r in placement.selectively_placed(tree, found, counts, engine.MODEL, names, engine.FULL).collect()}
+    assert set(some) == set(whole)
+    for q in queries:
+        least = 0.05 if q in dict(entered[0]) else 10.0  # the certain ones keep the lengths of the first pass
+        assert some[q, 1]["edge"] == whole[q, 1]["edge"] and whole[q, 1]["loglik"] - least < some[q, 1]["loglik"] < whole[q, 1]["loglik"] + 0.05
+    assert len(entered[0]) <= len(queries) and all(n <= placement.Options().refined for _, n in entered[0])
+    open_ = placement.Options(candidates=None, gap_top2=float("inf"))
+    every = placement.selectively_placed(tree, found, counts, engine.MODEL, names, open_).filter("rank = 1").collect()
+    assert len(entered[1]) == len(queries)
+    assert all(r["edge"] == whole[r["query"], 1]["edge"] and r["loglik"] == pytest.approx(whole[r["query"], 1]["loglik"], abs=1e-3) for r in every)
