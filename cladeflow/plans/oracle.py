@@ -350,6 +350,7 @@ def sql() -> dict[str, str]:
         "name_mismatches_all": mismatches,
         "mixed_name_mismatches": """SELECT n_name AS name, 'alignment' AS missing_in FROM nation WHERE n_regionkey >= 3 AND n_name NOT IN (SELECT r_name FROM region)
             UNION ALL SELECT r_name, 'tree' FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)""",
+        "streamed_tree": "SELECT n_name AS name FROM nation UNION ALL SELECT 'query_' || s_suppkey FROM supplier",
         "ring_edges": f"WITH RECURSIVE {TREE}, {RINGS} SELECT prune_root::INTEGER AS prune_root, edge::INTEGER AS edge, ring FROM walk UNION SELECT prune_root::INTEGER, sibling::INTEGER, 0 FROM centres",
         "regraft_logliks": f"{lk}, {REGRAFTS} SELECT a.n_name AS tip, b.n_name AS target, loglik FROM regrafts JOIN nation a ON a.n_nationkey = moved JOIN nation b ON b.n_nationkey = target",
         "pruned_placement": f"{every}, {_pruned()}",

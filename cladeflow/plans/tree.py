@@ -17,6 +17,8 @@ QUOTED = re.compile(r"[()\[\]:;,'\s]")
 LEAST_LENGTH, MOST_LENGTH, PENDANT = 1e-4, 100.0, 0.10536051565782628
 NODES = "node_id int, parent_id int, left_id int, right_id int, is_tip boolean, name string, blen double, post_ix int, pre_ix int, height int, depth int"
 
+STATE = "node int, parent int, place int, name string, blen double, is_root boolean"
+
 
 class Tree:
     """Parallel lists by node id. Removed nodes have no parent and aren't reached from the root."""
@@ -259,6 +261,25 @@ class Tree:
     def nodes(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), NODES)
 
+    def state(self, spark: SparkSession) -> DataFrame:
+        """All that ``restored`` needs for the same tree with the same ids, removed nodes too: a row for each node."""
+        place = {c: k for own in self.children for k, c in enumerate(own)}
+        rows = [(n, self.parent[n], place.get(n, 0), self.name[n], self.blen[n], n == self.root) for n in range(len(self.parent))]
+        return spark.createDataFrame(rows, STATE)
+
+    @classmethod
+    def restored(cls, state: DataFrame) -> Tree:
+        tree = cls()
+        rows = sorted(state.collect(), key=lambda r: r["node"])
+        for r in rows:
+            tree.add(r["name"], r["blen"])
+            if r["is_root"]:
+                tree.root = r["node"]
+        for r in sorted(rows, key=lambda r: r["place"]):
+            if r["parent"] is not None:
+                tree.hang(r["node"], r["parent"])
+        return tree
+
 
 def quoted(name: str) -> str:
     return "'" + name.replace("'", "''") + "'" if not name or QUOTED.search(name) else name

@@ -13,7 +13,7 @@ from .plans import derived, oracle
 from .plans.derived import COSTS, MODEL
 from .plans.shared import shared_path, written
 from .sources import jplace, text
-from .streaming.placement import each_batch
+from .streaming.placement import commit_stream, each_batch
 
 #: Queries that one commit batch takes (a setting of the commit loop, which is sequential).
 BATCH = 3
@@ -220,10 +220,11 @@ def jplace_records(spark, sf_dir):
     return jplace.records(placements(spark, sf_dir), derived.tree(spark, sf_dir))
 
 
-def _with_queries(spark, sf_dir) -> tuple[DataFrame, list[str], list[str]]:
-    """Patterns over the taxa and all queries, in input order; a row for each query comes to the driver, where the commit loop is."""
+def _with_queries(spark, sf_dir, keys: list[int] | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """Patterns over the taxa and all queries (or those with ``keys``), in input order; a row for each query comes to the driver, where the commit loop is."""
     names = taxa(spark, sf_dir)
-    keys = [r[0] for r in derived.table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
+    if keys is None:
+        keys = [r[0] for r in derived.table(spark, sf_dir, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
     places = spark.createDataFrame([(key, len(names) + k) for k, key in enumerate(keys)], "query bigint, row_ix int")
     own = derived.query_cells(spark, sf_dir).join(F.broadcast(places), "query").select("site", "row_ix", "sym")
     both = alignment.encoded(derived.cells(spark, sf_dir).select("site", "row_ix", "sym").unionByName(own))
@@ -247,6 +248,26 @@ def refined_tree(spark, sf_dir):
     return tree.nodes(spark).withColumn("loglik", F.lit(loglik))
 
 
+def committed_batch(spark, sf_dir, tree, batch: DataFrame):
+    """The tree with a batch of suppliers, in the order of their keys: patterns are those of all tips that it then has."""
+    new = [r[0] for r in batch.select("s_suppkey").orderBy("s_suppkey").collect()]  # a row for each query of the batch
+    old = sorted(int(tree.name[n].removeprefix("query_")) for n in tree.tips() if tree.name[n].startswith("query_"))
+    found, names, queries = _with_queries(spark, sf_dir, old + new)
+    return placement.committed(tree, found, MODEL, names, queries[len(old) :], COMMIT)
+
+
+def streamed_tree(spark, sf_dir):
+    """Suppliers arrive in three parts; each is committed to the tree that the one before has left. The tips of the last tree."""
+    source, suppliers = shared_path(spark, "arrivals"), derived.table(spark, sf_dir, "supplier")
+    cuts = suppliers.approxQuantile("s_suppkey", [1 / 3, 2 / 3], 0.01)
+    part = F.lit(0) + sum((F.col("s_suppkey") > c).cast("int") for c in cuts)
+    for k in range(3):
+        suppliers.filter(part == k).coalesce(1).write.mode("append").parquet(source)  # an arrival is a file
+    stream = spark.readStream.schema(suppliers.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    tree = commit_stream(stream, derived.tree(spark, sf_dir), lambda now, batch: committed_batch(spark, sf_dir, now, batch), shared_path(spark, "trees"), shared_path(spark, "tree-state"))
+    return tree.nodes(spark).filter("is_tip").select("name")
+
+
 def tip_distances(spark, sf_dir):
     nodes = derived.tree(spark, sf_dir).nodes(spark)
     out = tree_relations.tip_distances(nodes, tree_relations.ancestors(nodes))
@@ -329,7 +350,7 @@ def stream_query_counts(spark, sf_dir):
 QUERIES = [
     tree_loglik, tree_loglik_blocked, gene_logliks, alignment_encode, site_patterns, site_pattern_map, base_frequencies, invariant_sites, invariant_sites_all, transition_matrices,
     pattern_likelihoods, edge_logliks, root_states, ancestral_states, fitch_parsimony, sankoff_parsimony, site_repeats, best_interchange, query_counts, placement_baseline, placement_tip_edges,
-    placement_ranking, placement_edge_ranking, pruned_placement, ring_edges, regraft_logliks, placements, selective_placements, jplace_records, committed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, name_mismatches_all, mixed_name_mismatches, bad_symbols, bad_names,
+    placement_ranking, placement_edge_ranking, pruned_placement, ring_edges, regraft_logliks, placements, selective_placements, jplace_records, committed_tree, streamed_tree, refined_tree, tip_distances, subtree_sizes, name_mismatches, name_mismatches_all, mixed_name_mismatches, bad_symbols, bad_names,
     unequal_lengths, fasta_round_trip, phylip_round_trip, stream_query_counts,
 ]
 

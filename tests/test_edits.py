@@ -11,6 +11,7 @@ from cladeflow.operators import placement, pruned_search, rings, spr, vectors
 from cladeflow.operators.likelihood import Block
 from cladeflow.plans.tree import Tree
 from cladeflow.sources import jplace
+from cladeflow.streaming.placement import commit_stream
 
 MODEL = Model(rates=(1, 2.5, 1, 1, 2.5, 1), freqs=(0.3, 0.4, 0.1, 0.2), alpha=0.5)
 
@@ -253,3 +254,55 @@ def test_selective_refinement_keeps_the_best_edge(spark, sf_dir, monkeypatch):
     every = placement.selectively_placed(tree, found, counts, engine.MODEL, names, open_).filter("rank = 1").collect()
     assert len(entered[1]) == len(queries)
     assert all(r["edge"] == whole[r["query"], 1]["edge"] and r["loglik"] == pytest.approx(whole[r["query"], 1]["loglik"], abs=1e-3) for r in every)
+
+
+def test_tree_state_is_restored():
+    tree = random_tree(random.Random(9), 12)
+    node = next(n for n in tree.tips() if tree.parent[n] != tree.root)
+    tree.prune(node)
+
+    class Rows:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def collect(self):
+            return self.rows
+
+    class Session:
+        def createDataFrame(self, rows, schema):  # noqa: N802
+            names = [c.split()[0] for c in schema.split(", ")]
+            return Rows([dict(zip(names, r, strict=True)) for r in rows])
+
+    back = Tree.restored(tree.state(Session()))
+    assert (back.parent, back.children, back.name, back.blen, back.root) == (tree.parent, tree.children, tree.name, tree.blen, tree.root)
+
+
+def test_stream_with_a_replay_gives_the_tree_of_the_batch_run(spark, sf_dir, tmp_path):
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").orderBy("s_suppkey").limit(6)
+    keys = [r["s_suppkey"] for r in suppliers.collect()]
+    for k in range(3):
+        suppliers.filter(suppliers.s_suppkey.isin(keys[2 * k : 2 * k + 2])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start, fails, seen = engine.derived.tree(spark, sf_dir), [1], []
+    stream = lambda: spark.readStream.schema(suppliers.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    places = str(tmp_path / "trees"), str(tmp_path / "checkpoint")
+
+    def commit(tree, batch):
+        seen.append(len(tree.tips()))
+        return engine.committed_batch(spark, sf_dir, tree, batch)
+
+    def failing(tree, batch):
+        grown = commit(tree, batch)
+        if len(seen) == 2 and fails.pop():
+            grown.state(spark).write.parquet(places[0] + "/version=2")  # the version is written, but the batch isn't marked as done
+            raise RuntimeError("lost")
+        return grown
+
+    with pytest.raises(Exception, match="lost"):
+        commit_stream(stream(), start, failing, *places)
+    tree = commit_stream(stream(), start, commit, *places)
+    assert seen == [25, 27, 27, 29]  # the second batch twice, from the same version
+    found, names, queries = engine._with_queries(spark, sf_dir, keys)
+    whole = placement.committed(start, found, engine.MODEL, names, queries, engine.COMMIT)
+    assert (tree.parent, tree.children, tree.name) == (whole.parent, whole.children, whole.name)
+    assert tree.blen == pytest.approx(whole.blen, abs=1e-6)
+    assert commit_stream(stream(), start, commit, *places).newick() == tree.newick() and len(seen) == 4  # nothing new
