@@ -7,7 +7,8 @@ Scale: the texts stay where they are (no shuffle, one pass). The items are a sta
 first, and sets beyond ``BLOCK_WORDS`` are matched in blocks, one automaton in memory at a time.
 
 Null, empty and word-less texts have no words and no hits. Items without words match nothing; an item without an id
-marks words, but is not listed. Repeated ids count once.
+marks words, but is not listed. Repeated ids count once. Texts are read as a whole, however long they are. Of the items'
+table only ``item_id`` and ``text`` are read, so other columns can't clash. Empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ committed names it, so lost executors leave no wrong records.
 
 Null payloads are empty. Pages with null ids take part, but are named ``none`` and are never referred to if another has
 an id. Rows with the largest id and the same payload are all responses. Line breaks in URLs become ``%0A`` and ``%0D``.
+A payload is one member, however long it is. Extra columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
