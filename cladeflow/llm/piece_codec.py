@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .spark_util import BATCH_ROWS, RecentWords, small_batches
+from .spark_util import BATCH_ROWS, RecentWords, give_back, small_batches
 
 SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 #: Characters of a text that are split at once, and compatibility answers that are kept.
@@ -264,7 +264,7 @@ def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(found), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -284,7 +284,7 @@ def _over_ids(tokens: DataFrame, carry: list[str], schema: str, factory: Callabl
             rows = [kernel(values[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False)]
             columns = list(zip(*rows, strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=out.names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return tokens.select(*(F.col(f"`{c}`") for c in carry), F.col("ids").alias("in_ids")).mapInArrow(run, out)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .spark_util import checkpointed, map_rows, set_aside, spread_join, stored
+from .spark_util import checkpointed, give_back, map_rows, set_aside, spread_join, stored
 
 WIDTH, SEED, MOST_BITS = 4, 42, 4
 #: Words of a shingle, differing bits of 128, and the parts that these are looked up by, in ``deduplicated``.
@@ -245,6 +245,8 @@ def links(distinct: DataFrame, most: int = MOST_BITS, words: int = 1, parts: int
         kind = table.column("pair")[0].as_py()["kind"] if "pair" in table.column_names else WHOLE
         a, b = joined_node(unsigned("key"), rest, table.column("home").to_numpy(zero_copy_only=False), kind, depth, most, half, front)
         ids = table.column("key_id").to_numpy()
+        if table.num_rows > NODE_SIZE:
+            give_back()
         return pa.table({"a": ids[a], "b": ids[b]})
 
     return sent.groupBy(*pairs).applyInArrow(join, "a bigint, b bigint")

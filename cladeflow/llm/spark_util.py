@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,14 @@ class RecentWords:
         return known
 
 
+def give_back() -> None:
+    """Give free memory back to the system, as the Python process goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep what a Python task holds at once small, however long the texts are."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
@@ -106,7 +115,7 @@ def map_rows(df: DataFrame, carry: list[str], inputs: list[str], schema: str, fa
             columns = [(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in map(batch.column, places)]
             rows = list(zip(*map(kernel, *columns), strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(x, t) for x, t in zip(rows, types, strict=True))], names=names)
-        pa.default_memory_pool().release_unused()  # the process goes on to other tasks
+        give_back()
 
     return df.select(*(F.col(f"`{c}`") for c in carry), *(F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(more))).mapInArrow(run, out)
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .piece_codec import SPACE, default_model
-from .spark_util import small_batches, stored
+from .spark_util import give_back, small_batches, stored
 
 #: Records of a run, radixes, runs that are merged at once, and bytes of pair lists that are broadcast.
 RUN_RECORDS, RADIXES, FAN_IN, MOST_BYTES = 1 << 20, 64, 64, 64 << 20
@@ -328,7 +328,7 @@ def spilled(docs: DataFrame, path_a: str, path_b: str, run_records: int) -> Data
                 held, slots, number = [], 0, number + 1
         if any(len(h[0]) for h in held):
             yield from full()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "alignment")
 

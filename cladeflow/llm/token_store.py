@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .spark_util import fresh_path, small_batches
+from .spark_util import fresh_path, give_back, small_batches
 
 END_ID = 1
 #: Rows between two entries of the row index, and bytes of a stripe.
@@ -180,7 +180,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             starts = start + offsets[:-1].astype(np.int64)
             start += int(offsets[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(starts), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     options = {"orc.bloom.filter.columns": "doc_id", "orc.row.index.stride": INDEX_STRIDE, "orc.stripe.size": STRIPE_BYTES, "compression": "zstd"}
     two.mapInArrow(encode, schema).write.options(**{k: str(v) for k, v in options.items()}).orc(path)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .spark_util import WORD_TABLE, set_aside, small_batches, stored
+from .spark_util import WORD_TABLE, give_back, set_aside, small_batches, stored
 
 #: Training documents of each label, and the longest text that is trained on.
 SAMPLE, LONGEST = 2000, 30_000
@@ -336,7 +336,7 @@ def scored(docs: DataFrame, chain: Chain | None, carry: list[str] | None = None,
             scores = model.value.calibrated(np.array([raw_score(p) for p in found])) if scorer else np.zeros(len(texts))
             spans = [offsets(x, p >= 0.5) if len(p) and p.max() >= 0.5 else [] for x, p in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, span_type)], names=schema.names)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     own = [] if "text" in kept else [F.col("text").cast("string").alias("scored_text")]  # what is carried anyway isn't sent twice
     return docs.select(*(F.col(f"`{c}`") for c in kept), *own).mapInArrow(run, schema)
