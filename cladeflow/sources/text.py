@@ -21,15 +21,23 @@ def _gene() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), GENE, 1)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``>`` and the whole header line as name; sequence lines are joined, white space goes. Large files are split at records."""
+def read_fasta(spark: SparkSession, path: str, equal: bool = False) -> DataFrame:
+    """``>`` and the whole header line as name; sequence lines are joined, white space goes. Large files are split at records.
+
+    equal: a sequence that is shorter than its gene's longest one is an error, as in an alignment.
+    """
     # A record's place in its file orders rows; files are split by bytes, so this is where a record begins.
     rows = spark.read.option("lineSep", "\n>").text(path).select(_gene().alias("gene_id"), (F.col("_metadata.file_block_start") * 1_000_000 + F.monotonically_increasing_id() % (1 << 33)).alias("place"), F.regexp_replace("value", r"^\s*>", "").alias("record"))
     cut = F.instr("record", "\n")
     name = F.trim(F.regexp_replace(F.when(cut > 0, F.substring("record", F.lit(1), cut - 1)).otherwise(F.col("record")), r"\r", ""))
     seq = F.regexp_replace(F.when(cut > 0, F.substring("record", cut, F.length("record"))).otherwise(""), SPACE, "")
     order = Window.partitionBy("gene_id").orderBy("place")
-    return rows.filter(F.trim("record") != "").select("gene_id", (F.row_number().over(order) - 1).alias("row_ix"), name.alias("name"), seq.alias("seq"))
+    found = rows.filter(F.trim("record") != "").select("gene_id", (F.row_number().over(order) - 1).alias("row_ix"), name.alias("name"), seq.alias("seq"))
+    if not equal:
+        return found
+    wrong = F.length("seq") != F.max(F.length("seq")).over(Window.partitionBy("gene_id"))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("another length than the longest sequence: "), F.col("name")))).otherwise(F.col("seq"))
+    return found.select("gene_id", "row_ix", "name", checked.cast("string").alias("seq"))
 
 
 def read_phylip(spark: SparkSession, path: str) -> DataFrame:
@@ -48,11 +56,11 @@ def read_phylip(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_alignment(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA or PHYLIP, by the first character of the first line that isn't blank."""
+    """FASTA or PHYLIP, by the first character of the first line that isn't blank; all sequences of a gene have one length."""
     first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
     if not first:
         raise ValueError(f"{path} is empty")
-    return read_fasta(spark, path) if first[0][0].lstrip().startswith(">") else read_phylip(spark, path)
+    return read_fasta(spark, path, equal=True) if first[0][0].lstrip().startswith(">") else read_phylip(spark, path)
 
 
 def write_fasta(msa: DataFrame, path: str) -> None:

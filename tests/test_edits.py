@@ -10,7 +10,7 @@ from cladeflow.functions.model import Model
 from cladeflow.operators import placement, pruned_search, rings, spr, vectors
 from cladeflow.operators.likelihood import Block
 from cladeflow.plans.tree import Tree
-from cladeflow.sources import jplace
+from cladeflow.sources import jplace, text
 from cladeflow.streaming.placement import commit_stream
 
 MODEL = Model(rates=(1, 2.5, 1, 1, 2.5, 1), freqs=(0.3, 0.4, 0.1, 0.2), alpha=0.5)
@@ -306,3 +306,12 @@ def test_stream_with_a_replay_gives_the_tree_of_the_batch_run(spark, sf_dir, tmp
     assert (tree.parent, tree.children, tree.name) == (whole.parent, whole.children, whole.name)
     assert tree.blen == pytest.approx(whole.blen, abs=1e-6)
     assert commit_stream(stream(), start, commit, *places).newick() == tree.newick() and len(seen) == 4  # nothing new
+
+
+def test_alignments_have_equal_lengths(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">x\nACGT\n>y\nAC\nGT\n")
+    (tmp_path / "b.fasta").write_text(">x\nACGT\n>short\nACG\n")
+    assert [r["seq"] for r in text.read_alignment(spark, str(tmp_path / "a.fasta")).orderBy("row_ix").collect()] == ["ACGT", "ACGT"]
+    with pytest.raises(Exception, match="short"):
+        text.read_alignment(spark, str(tmp_path / "b.fasta")).collect()
+    assert text.read_fasta(spark, str(tmp_path / "b.fasta")).count() == 2
