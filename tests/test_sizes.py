@@ -2,9 +2,44 @@
 
 import inspect
 
+import pytest
+
 import __spark_entry__ as entry
+from cladeflow import queries as engine
+from cladeflow.plans import derived
 
 
 def test_registered_queries_take_a_session_and_a_folder():
     for name, query in entry.queries().items():
         assert list(inspect.signature(query).parameters) == ["spark", "sf_dir"], name
+
+
+def odd_tables(spark, folder, sf_dir):
+    """Keys that repeat, are null or far apart, or have no nation."""
+    suppliers = [(k * step, n) for step in (1, 68, 34) for k in range(1, 9) for n in (3, 7)] + [(None, 3), (None, 4), (5, None), (5 + 68, None), (6, 99), (0, 3)]
+    parts = [(p, p * 7 % 50 + 1) for p in range(40)] + [(p + 6596 * 3, p * 7 % 50 + 1) for p in range(30)] + [(7, 7 * 7 % 50 + 1), (None, 3), (100_000, None)]
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(p, "gene", s) for p, s in parts], "p_partkey bigint, p_brand string, p_size int").write.parquet(f"{folder}/part.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("below", [0, -9])
+def test_counts_are_those_of_all_pairs_of_suppliers_and_parts(spark, sf_dir, tmp_path, below):
+    folder = odd_tables(spark, tmp_path, sf_dir)
+    if below:  # a negative key: no key may be taken modulo the period
+        spark.createDataFrame([(below, 3), (below - 68, 3)], "s_suppkey bigint, s_nationkey int").write.mode("append").parquet(f"{folder}/supplier.parquet")
+    found = engine.stored_patterns(spark, folder)
+    rows = lambda of: sorted((tuple(r) for r in of.select("query", "pattern_id", "mask", "weight").collect()), key=str)
+    want = rows(engine.counts(spark, folder, derived.query_cells(spark, folder), found))
+    own = engine.Queries(spark, folder, found)
+    assert rows(own.all(own.counts)) == want and len(want) > 1000
+
+
+def test_equal_queries_are_counted_once(spark, sf_dir, tmp_path):
+    folder = odd_tables(spark, tmp_path, sf_dir)
+    more = spark.createDataFrame([(1000 * 68 + k, 3) for k in range(680)], "s_suppkey bigint, s_nationkey int")
+    more.write.mode("append").parquet(f"{folder}/supplier.parquet")
+    own = engine.Queries(spark, folder, engine.stored_patterns(spark, folder))
+    assert own.members.count() > 680 and own.counts.select("query").distinct().count() < 150
