@@ -43,3 +43,12 @@ def test_equal_queries_are_counted_once(spark, sf_dir, tmp_path):
     more.write.mode("append").parquet(f"{folder}/supplier.parquet")
     own = engine.Queries(spark, folder, engine.stored_patterns(spark, folder))
     assert own.members.count() > 680 and own.counts.select("query").distinct().count() < 150
+
+
+def test_cells_are_grouped_where_they_are_made(spark, sf_dir):
+    """A part's cells aren't shuffled, and no task makes those of a whole file."""
+    for query in (engine.invariant_sites, engine.invariant_sites_all):
+        found = query(spark, sf_dir)
+        assert found.collect() is not None and found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") >= 1 and "ENSURE_REQUIREMENTS" not in plan
