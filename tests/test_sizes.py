@@ -52,3 +52,14 @@ def test_cells_are_grouped_where_they_are_made(spark, sf_dir):
         assert found.collect() is not None and found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("REPARTITION_BY_NUM") >= 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_sequences_come_from_ranges_of_sites(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine, "RANGE", 2)
+    folder = odd_tables(spark, tmp_path, sf_dir)
+    cells = derived.cells(spark, folder).filter("site is not null").collect()
+    want = {t: "".join(s for _, s in sorted((c["site"], c["sym"] or "") for c in cells if c["taxon"] == t)) for t in {c["taxon"] for c in cells}}
+    monkeypatch.setattr(derived, "cells", lambda spark, folder, of=derived.cells: of(spark, folder).filter("site is not null"))
+    msa = engine._msa(spark, folder)
+    assert {r["name"]: r["seq"] for r in msa.collect()} == want
+    assert "range" in msa._jdf.queryExecution().optimizedPlan().toString()
