@@ -2,11 +2,14 @@
 
 import inspect
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from cladeflow import queries as engine
+from cladeflow.operators import likelihood, placement
 from cladeflow.plans import derived
+from cladeflow.plans.tree import Tree
 
 
 def test_registered_queries_take_a_session_and_a_folder():
@@ -63,3 +66,28 @@ def test_sequences_come_from_ranges_of_sites(spark, sf_dir, tmp_path, monkeypatc
     msa = engine._msa(spark, folder)
     assert {r["name"]: r["seq"] for r in msa.collect()} == want
     assert "range" in msa._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("share", [0.1, 0.8, 1.0])
+def test_terms_by_state_are_those_by_entry(share):
+    """Queries with many states a pattern take terms by (state, pattern); absent states and those of several bases count as before."""
+    rng = np.random.default_rng(5)
+    tree = Tree.parse("(((a:.1,b:.2):.05,c:.3):.1,(d:0,e:.4):.2,f:.01);")
+    block = likelihood.Block(tree, engine.MODEL, {n: k for k, n in enumerate("abcdef")}, 1 << rng.integers(0, 4, (50, 6)), down=True)
+    every = np.array([(p, m) for p in range(50) for m in (1, 2, 4, 8, 5, 15)])
+    own = every[rng.random(len(every)) < share]
+    weight = rng.integers(1, 9, len(own)).astype(float)
+    for passes in (1, 4):
+        want = np.array([placement.Insertion(block, e, *own.T, weight).optimised(passes) for e in tree.edges()]).T
+        got = np.array(placement.StateInsertions(block, tree.edges(), *own.T, weight).optimised(passes))
+        assert np.isfinite(got).all() and got[0] == pytest.approx(want[0], abs=1e-6) and got[1:] == pytest.approx(want[1:], abs=1e-5)
+
+
+def test_entries_of_a_query_are_sent_for_many_edges_at_once(spark, sf_dir):
+    tree = derived.tree(spark, sf_dir)
+    found = engine.stored_patterns(spark, sf_dir)
+    own = engine.Queries(spark, sf_dir, found).counts
+    names = engine.taxa(spark, sf_dir)
+    out = placement.optimised_scores(tree, placement.sent_alignment(found, names), own, placement.every_edge(own, tree), engine.MODEL, names, placement.Options(passes=1))
+    assert out.count() == own.select("query").distinct().count() * len(tree.edges())
+    assert placement.EDGES * 2 >= len(tree.edges()) and placement.TOGETHER < placement.EDGES
