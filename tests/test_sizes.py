@@ -91,3 +91,35 @@ def test_entries_of_a_query_are_sent_for_many_edges_at_once(spark, sf_dir):
     out = placement.optimised_scores(tree, placement.sent_alignment(found, names), own, placement.every_edge(own, tree), engine.MODEL, names, placement.Options(passes=1))
     assert out.count() == own.select("query").distinct().count() * len(tree.edges())
     assert placement.EDGES * 2 >= len(tree.edges()) and placement.TOGETHER < placement.EDGES
+
+
+def test_joint_patterns_have_a_column_for_each_sequence(spark, sf_dir, tmp_path):
+    """Patterns of taxa and queries are those of all their cells, and suppliers with equal sequences share a column."""
+    suppliers = [(k, k % 3 + (30 if k % 5 == 0 else 0)) for k in range(1, 13)] + [(k + 68 * 3 * 5, k % 3 + (30 if k % 5 == 0 else 0)) for k in range(1, 8)] + [(100, None)]
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    parts = [(p, p * 7 % 50 + 1) for p in range(60)] + [(p + 6596 * 3, p * 7 % 50 + 1) for p in range(30)] + [(9000, None)]
+    spark.createDataFrame([(p, "gene", s) for p, s in parts], "p_partkey bigint, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    found, names, queries = engine._with_queries(spark, str(tmp_path))
+    assert queries == [f"query_{k}" for k, _ in sorted(suppliers)] and len(names) == 25 + 20
+    cells = derived.query_cells(spark, str(tmp_path)).select("site", derived.F.concat(derived.F.lit("query_"), "query").alias("name"), derived.mask_of(derived.F.col("sym")).alias("mask"))
+    cells = cells.unionByName(derived.cells(spark, str(tmp_path)).select("site", derived.F.col("taxon").alias("name"), derived.mask_of(derived.F.col("sym")).alias("mask"))).collect()
+    columns = {}
+    for c in cells:
+        columns.setdefault(c["site"], {})[c["name"]] = c["mask"]
+    want = {}
+    for site, column in columns.items():
+        want.setdefault(tuple(column[n] for n in names), []).append(site)
+    rows = found.orderBy("pattern_id").collect()
+    assert {tuple(r["pattern"][names.index(n)] for n in names): (r["first_site"], r["weight"]) for r in rows} == {p: (min(s), len(s)) for p, s in want.items()}
+    assert [r["pattern_id"] for r in rows] == list(range(len(want))) and [r["first_site"] for r in rows] == sorted(min(s) for s in want.values())
+    assert {len(r["pattern"]) for r in rows} == {25 + 13}  # 7 of 20 are copies
+
+
+def test_patterns_at_once_shrink_as_trees_grow():
+    tree = Tree.parse("((a:.1,b:.2):.1,c:.3);")
+    assert likelihood.at_once(tree, 512) == 512
+    for k in range(6000):
+        tree.insert(f"q{k}", 1, tree.blen[1] / 2, 0.01)
+    assert likelihood.at_once(tree, 512) * len(tree.parent) <= likelihood.HELD and likelihood.at_once(tree, 4096) < 512
