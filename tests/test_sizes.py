@@ -123,3 +123,22 @@ def test_patterns_at_once_shrink_as_trees_grow():
     for k in range(6000):
         tree.insert(f"q{k}", 1, tree.blen[1] / 2, 0.01)
     assert likelihood.at_once(tree, 512) * len(tree.parent) <= likelihood.HELD and likelihood.at_once(tree, 4096) < 512
+
+
+def test_rankings_of_equal_queries_come_from_one_of_them(spark, sf_dir, tmp_path, monkeypatch):
+    folder, scored = str(tmp_path), []
+    spark.createDataFrame([(k * step, n) for step in (1, 69) for k, n in ((1, 3), (2, 7), (3, 3))], "s_suppkey bigint, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    for name in ("nation", "region", "part"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+
+    def scores(tree, patterns, counts, *rest, of=placement.baseline_scores):
+        scored.append({r[0] for r in counts.select("query").distinct().collect()})
+        return of(tree, patterns, counts, *rest)
+
+    monkeypatch.setattr(placement, "baseline_scores", scores)
+    like = {r["query"]: r["like"] for r in derived.members(spark, folder, derived.table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")).collect()}
+    rows = {}
+    for r in engine.placement_ranking(spark, folder).collect():
+        rows.setdefault(r["query"], []).append(tuple(r)[1:])
+    assert rows.keys() == like.keys() and all(sorted(rows[q]) == sorted(rows[first]) and len(rows[q]) == 5 for q, first in like.items())
+    assert scored == [set(like.values())] and len(scored[0]) < len(like)
