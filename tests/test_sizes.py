@@ -142,3 +142,51 @@ def test_rankings_of_equal_queries_come_from_one_of_them(spark, sf_dir, tmp_path
         rows.setdefault(r["query"], []).append(tuple(r)[1:])
     assert rows.keys() == like.keys() and all(sorted(rows[q]) == sorted(rows[first]) and len(rows[q]) == 5 for q, first in like.items())
     assert scored == [set(like.values())] and len(scored[0]) < len(like)
+
+
+def test_counts_are_made_where_they_are_scored(spark, sf_dir):
+    """What is dealt out by block and chunk are counts of sites; those of the queries, many times as many, aren't shuffled."""
+    found, tree, names = engine.stored_patterns(spark, sf_dir), derived.tree(spark, sf_dir), engine.taxa(spark, sf_dir)
+    own = engine.Queries(spark, sf_dir, found)
+    scores = placement.baseline_scores(tree, found, own.dealt, derived.MODEL, names)
+    plan = scores._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [line for line in plan if "Exchange hashpartitioning(block" in line]
+    assert len(dealt) == 2 and sum("REPARTITION_BY_NUM" in line for line in dealt) == 1  # the other one deals out patterns
+    rows = lambda of: {(r["query"], r["edge"]): r["loglik"] for r in of.collect()}
+    want, got = rows(placement.baseline_scores(tree, found, own.counts, derived.MODEL, names)), rows(scores)
+    assert got.keys() == want.keys() and len(got) > 100 and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-12)
+
+
+def test_counts_of_factors_and_nations_below_zero(spark, sf_dir, tmp_path):
+    """Remainders of negative numbers depend on more than the factor's remainder."""
+    for at, (nations, sizes) in enumerate([((3, -2000, -4), (1, 50)), ((3, 24), (1, -40, -30_000)), ((3, -2), (7, None))]):
+        folder = str(tmp_path / str(at))
+        spark.createDataFrame([(k, nations[k % len(nations)]) for k in range(1, 60)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+        spark.createDataFrame([(p, "gene", sizes[p % len(sizes)]) for p in range(300)], "p_partkey bigint, p_brand string, p_size int").write.parquet(f"{folder}/part.parquet")
+        for name in ("nation", "region"):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+        found = engine.stored_patterns(spark, folder)
+        rows = lambda of: sorted(tuple(r) for r in of.select("query", "pattern_id", "mask", "weight").collect())
+        own = engine.Queries(spark, folder, found)
+        assert rows(own.all(own.counts)) == rows(engine.counts(spark, folder, derived.query_cells(spark, folder), found))
+
+
+def few_sequences(spark, folder, sf_dir):
+    """Six suppliers of three sequences; like: the first supplier with the same one."""
+    spark.createDataFrame([(k * step, n) for step in (1, 69) for k, n in ((1, 3), (2, 7), (3, 3))], "s_suppkey bigint, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    for name in ("nation", "region", "part"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return {r["query"]: r["like"] for r in derived.members(spark, folder, derived.table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")).collect()}
+
+
+def test_equal_queries_are_ranked_once(spark, sf_dir, tmp_path, monkeypatch):
+    like, ranked = few_sequences(spark, str(tmp_path), sf_dir), []
+    want = {tuple(r) for r in placement.ranked(engine.placement_baseline(spark, str(tmp_path)), 5).select("query", "edge", "rank", "loglik").collect()}
+
+    def ranks(scores, *rest, of=placement.ranked):
+        ranked.append({r[0] for r in scores.select("query").distinct().collect()})
+        return of(scores, *rest)
+
+    monkeypatch.setattr(placement, "ranked", ranks)
+    got = {tuple(r)[:4] for r in engine.placement_edge_ranking(spark, str(tmp_path)).select("query", "edge", "rank", "loglik").collect()}
+    assert got == want and len(got) == 5 * len(like) and ranked == [set(like.values())] and len(ranked[0]) < len(like)
