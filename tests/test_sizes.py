@@ -190,3 +190,10 @@ def test_equal_queries_are_ranked_once(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(placement, "ranked", ranks)
     got = {tuple(r)[:4] for r in engine.placement_edge_ranking(spark, str(tmp_path)).select("query", "edge", "rank", "loglik").collect()}
     assert got == want and len(got) == 5 * len(like) and ranked == [set(like.values())] and len(ranked[0]) < len(like)
+
+
+def test_ranking_deals_out_counts_of_sites_only(spark, sf_dir):
+    plan = engine.placement_ranking(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [line for line in plan if "Exchange hashpartitioning(block" in line]
+    assert len(dealt) == 2 and sum("REPARTITION_BY_NUM" in line for line in dealt) == 1
+    assert sum("Exchange hashpartitioning(part" in line and "REPARTITION_BY_NUM" in line for line in plan) == 2  # not joined into one task
