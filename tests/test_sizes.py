@@ -197,3 +197,18 @@ def test_ranking_deals_out_counts_of_sites_only(spark, sf_dir):
     dealt = [line for line in plan if "Exchange hashpartitioning(block" in line]
     assert len(dealt) == 2 and sum("REPARTITION_BY_NUM" in line for line in dealt) == 1
     assert sum("Exchange hashpartitioning(part" in line and "REPARTITION_BY_NUM" in line for line in plan) == 2  # not joined into one task
+
+
+def test_tip_edges_are_all_that_is_scored_for_tips(spark, sf_dir, tmp_path, monkeypatch):
+    like, asked, score = few_sequences(spark, str(tmp_path), sf_dir), [], placement.baseline_scores
+
+    def scores(*args):
+        asked.append(args[6] if len(args) > 6 else args[0].edges())
+        return score(*args)
+
+    monkeypatch.setattr(placement, "baseline_scores", scores)
+    tree = derived.tree(spark, str(tmp_path))
+    got = {(r["query"], r["tip"]): r["loglik"] for r in engine.placement_tip_edges(spark, str(tmp_path)).collect()}
+    assert asked == [tree.tips()] and len(asked[0]) < len(tree.edges())
+    want = {(r["query"], tree.name[r["edge"]]): r["loglik"] for r in engine.placement_baseline(spark, str(tmp_path)).collect() if r["edge"] in tree.tips()}
+    assert got.keys() == want.keys() and len(got) == 25 * len(like) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
